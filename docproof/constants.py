@@ -137,6 +137,9 @@ APPROVED = "Approved"
 NEEDS_REVIEW = "Needs Review"
 REJECTED = "Rejected"
 
+# Engine name stored with processed documents.
+ENGINE = "qwen_llm"
+
 # --- dates ------------------------------------------------------------------------------------------------
 
 # Accepted date layouts, in order of preference: (Spark pattern, strptime pattern).

@@ -256,7 +256,7 @@ def token_chunks(spark: SparkSession, folder: str) -> DataFrame:
             )
         ).alias("line"),
     )
-    # Every third request reports no token count, every fifth closes with a broken line before the real one.
+    # Every third request reports no token count, every fifth ends in a broken line.
     count = F.when(F.col("req_id") % 3 == 0, 0).otherwise(F.size("words"))
     closing = turns.select(
         "req_id",

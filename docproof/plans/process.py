@@ -13,7 +13,6 @@ from docproof.functions.canonical import flat_document_type
 from docproof.functions.jsonio import json_path_text, timings_map
 from docproof.operators import validation as val
 
-ENGINE = "qwen_llm"
 NESTED = {
     "vendor": ("name_ar", "name_en", "vat_number", "address_ar", "address_en"),
     "customer": ("name_ar", "name_en", "vat_number", "address_ar", "address_en"),
@@ -77,7 +76,7 @@ def process_documents(documents: DataFrame, strict: bool = False) -> DataFrame:
         F.lit("invoice").alias("document_type"),
         "status",
         "confidence",
-        F.lit(ENGINE).alias("extraction_engine"),
+        F.lit(C.ENGINE).alias("extraction_engine"),
         validation_struct().alias("validation"),
         payload_json().alias("json_output"),
         F.col("ocr_text").alias("raw_text"),
