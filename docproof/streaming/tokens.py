@@ -20,7 +20,7 @@ STATE = "seqs array<long>, contents array<string>, eval_count long, done_reason
 
 
 def _collect(
-    key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, timeout_ms: int
+    key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, timeout_ms: int | None
 ) -> Iterator[pd.DataFrame]:
     seqs, contents, eval_count, reason = state.get if state.exists else ([], [], 0, None)
     pieces = dict(zip(seqs, contents))
@@ -35,7 +35,8 @@ def _collect(
     complete = reason is not None or len(pieces) >= key[2]
     if not (complete or state.hasTimedOut):
         state.update(([s for s, _ in ordered], [c for _, c in ordered], eval_count, reason))
-        state.setTimeoutDuration(timeout_ms)
+        if timeout_ms is not None:
+            state.setTimeoutDuration(timeout_ms)
         return
     if state.exists:
         state.remove()
@@ -53,11 +54,12 @@ def _collect(
 
 
 def token_stream(
-    chunks: DataFrame, chunks_per_segment: int = CHUNKS_PER_SEGMENT, timeout_ms: int = 600_000
+    chunks: DataFrame, chunks_per_segment: int = CHUNKS_PER_SEGMENT, timeout_ms: int | None = None
 ) -> DataFrame:
     """One row per finished span: full spans at once, the last one when its closing record arrives.
 
-    A span that never completes is emitted as it is after the timeout, with ``closed`` false.
+    With a timeout, for queries that run on, a span that never completes is emitted as it is when the time is up, with
+    ``closed`` false. A query that drains what has arrived and ends must not set one: it would wait for the time.
     """
     spans = parse_chunks(chunks).withColumns(
         {"segment": F.floor(F.col("seq") / chunks_per_segment), "span": F.lit(chunks_per_segment)}
@@ -67,5 +69,5 @@ def token_stream(
         OUTPUT,
         STATE,
         "append",
-        GroupStateTimeout.ProcessingTimeTimeout,
+        GroupStateTimeout.NoTimeout if timeout_ms is None else GroupStateTimeout.ProcessingTimeTimeout,
     )
