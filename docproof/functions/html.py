@@ -8,6 +8,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docproof import constants as C
 from docproof.functions.text import HTML_TAG, has_html
@@ -46,7 +47,7 @@ def html_text(source: str | None) -> str | None:
     return _GAPS.sub("\n\n", "".join(collector.pieces)).strip()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _strip_html_batch(source: pd.Series) -> pd.Series:
     return source.map(html_text)
 

@@ -6,18 +6,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from docproof import constants as C
-from docproof.functions.text import let, py_strip
+from docproof.functions.text import py_strip
 
 AMOUNT_RUN = rf"[\p{{Nd}}{C.PY_SPACES}.,{C.ARABIC_DECIMAL_SEPARATOR}]+"
-AMOUNT_RUN_ONE_LINE = rf"[\p{{Nd}} \t\xa0.,{C.ARABIC_DECIMAL_SEPARATOR}]+"
+LINE_ENDS = "\n\r"
+AMOUNT_RUN_ONE_LINE = AMOUNT_RUN.replace("\n", "").replace("\r", "")
 
 
-def _ascii_number(text: Column) -> Column:
-    """All Unicode digits to ASCII, Arabic decimal sign to a point, whitespace removed."""
+def _ascii_number(text: Column, keep: str = "") -> Column:
+    """All Unicode digits to ASCII, Arabic decimal sign to a point, whitespace (but for ``keep``) removed."""
     # ``translate`` deletes the characters that have no partner, here the whitespace.
+    spaces = "".join(c for c in C.PY_SPACES if c not in keep)
     return F.translate(
         text,
-        C.DECIMAL_DIGITS_FROM + C.ARABIC_DECIMAL_SEPARATOR + C.PY_SPACES,
+        C.DECIMAL_DIGITS_FROM + C.ARABIC_DECIMAL_SEPARATOR + spaces,
         C.DECIMAL_DIGITS_TO + ".",
     )
 
@@ -67,8 +69,13 @@ def amount_candidates(text: Column, strict: bool = False) -> Column:
 
 def text_amounts(text: Column, strict: bool = False) -> Column:
     """The amounts printed in a text, rounded to two decimals."""
-    runs = F.filter(amount_candidates(text, strict), lambda c: F.rlike(c, F.lit(r"\p{Nd}")))
-    values = F.transform(runs, lambda c: F.round(let(_ascii_number(c), lambda s: _to_double(_resolve_separators(s))), 2))
+    # Blanks belong to every run they touch and are dropped when a run is read, so they can go first: the runs left in
+    # the ASCII form of the whole text are the same amounts, found with a plain character class.
+    plain = _ascii_number(text, keep=LINE_ENDS if strict else "")
+    runs = F.filter(
+        F.regexp_extract_all(plain, F.lit("[0-9.,]+"), F.lit(0)), lambda r: F.rlike(r, F.lit("[0-9]"))
+    )
+    values = F.transform(runs, lambda r: F.round(_to_double(_resolve_separators(r)), 2))
     return F.array_distinct(F.filter(values, lambda v: v.isNotNull()))
 
 

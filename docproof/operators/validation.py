@@ -21,6 +21,16 @@ from docproof.operators import scoring
 ISSUE_TYPE = "array<struct<field:string,message:string,severity:string>>"
 
 
+def evaluate_once(df: DataFrame, *columns: str) -> DataFrame:
+    """Fix the given columns per row.
+
+    The optimizer copies an expression into every filter that is pushed below it, which for the states would repeat
+    their text searches many times. It does not push filters into a generator, so the columns are passed through one.
+    """
+    others = [c for c in df.columns if c not in columns]
+    return df.select(*others, F.inline(F.array(F.struct(*columns))))
+
+
 def with_answer(df: DataFrame, response: str = "raw_llm_response") -> DataFrame:
     """Add ``answer``: the model's JSON object as a variant."""
     return df.withColumn("answer", parse_model_json(F.col(response)))
@@ -223,7 +233,9 @@ def with_scores(df: DataFrame) -> DataFrame:
 def validate(df: DataFrame, strict: bool = False) -> DataFrame:
     """Values, text index, states and scores for rows with ``ocr_text`` and ``raw_llm_response``."""
     indexed = with_text_index(with_field_values(with_answer(df)), strict=strict)
-    return with_scores(with_field_states(indexed, strict))
+    states = with_field_states(indexed, strict)
+    fixed = [*(f"s_{f}" for f in C.FIELDS), "found_total_amount", "math_failed"]
+    return with_scores(evaluate_once(states, *fixed))
 
 
 def unpivot_values(df: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -15,6 +15,8 @@ def build_session(master: str | None = None, app: str = "docproof", **conf: str)
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
+        # Rows are small but costly, so tasks are not merged below a few thousand of them.
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
         "spark.sql.files.maxPartitionBytes": "128m",
         "spark.sql.variant.allowDuplicateKeys": "true",
         **conf,
