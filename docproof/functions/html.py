@@ -42,7 +42,7 @@ def html_text(source: str | None) -> str | None:
     if source is None or ">" not in source or not _TAG.search(source):
         return source
     collector = _TextCollector()
-    # The reader is not closed: an unfinished entity at the very end stays out, as in the results we match.
+    # The reader is not closed: text it holds back for an unfinished entity at the end stays out, as expected of it.
     collector.feed(source)
     return _GAPS.sub("\n\n", "".join(collector.pieces)).strip()
 
@@ -53,6 +53,5 @@ def _strip_html_batch(source: pd.Series) -> pd.Series:
 
 
 def strip_html(text: Column) -> Column:
-    """Text of a page; text without tags is returned as it is and never leaves the JVM unchanged."""
-    # The test keeps plain text rows' result independent of Python; Arrow batches carry whole texts.
+    """Text of a page; text without tags is returned as it is."""
     return F.when(has_html(text), _strip_html_batch(text)).otherwise(text)

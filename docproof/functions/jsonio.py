@@ -12,14 +12,20 @@ TIMINGS_TYPE = "map<string,double>"
 
 
 def _object_only(text: Column) -> Column:
-    """A variant when the text is one JSON object, else null."""
-    return F.when(F.startswith(F.ltrim(text), F.lit("{")), F.try_parse_json(text))
+    """A variant when the text is one JSON object and nothing else, else null."""
+    # The parser stops after the first value; inside brackets anything that follows it becomes an error or an element.
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    alone = F.try_variant_get(listed, "$[1]", "variant").isNull()
+    return F.when(
+        F.startswith(F.ltrim(text), F.lit("{")) & F.endswith(F.rtrim(text), F.lit("}")) & alone,
+        F.try_variant_get(listed, "$[0]", "variant"),
+    )
 
 
 def parse_model_json(text: Column) -> Column:
     """The object a model answered with: fences removed, else the outermost braces, else null."""
     clean = py_strip(F.regexp_replace(text, FENCE, ""))
-    # The outermost braces are the clean text itself in the common case, so this second parse is rarely reached.
+    # Only reached when the clean text is not an object by itself.
     braces = F.nullif(F.regexp_extract(clean, r"(?s)\{.*\}", 0), F.lit(""))
     return F.coalesce(_object_only(clean), _object_only(braces))
 

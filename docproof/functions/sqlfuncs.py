@@ -49,7 +49,8 @@ def definitions() -> dict[str, tuple[str, str, str]]:
         ),
         "dp_parse_amount": (
             "t STRING", "DOUBLE",
-            f"try_cast(regexp_replace(translate(btrim(t, {spaces}), ' $€£,', ''), '[A-Za-z]+', '') AS DOUBLE)",
+            f"try_cast(btrim(regexp_replace(translate(btrim(t, {spaces}), {quote(C.DECIMAL_DIGITS_FROM + ' $€£,')},"
+            f" {quote(C.DECIMAL_DIGITS_TO)}), '[A-Za-z]+', ''), {spaces}) AS DOUBLE)",
         ),
         "dp_amount_grounded": (
             "v DOUBLE, t STRING", "BOOLEAN",

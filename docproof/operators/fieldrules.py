@@ -17,7 +17,9 @@ LABELLED = r"^[ \t]*{}[ \t]*(?:[:#]|[ \t])[ \t]*([^\n]*[^\s])[ \t]*$"
 def labelled_value(text: Column, label: str) -> Column:
     """What follows a label at the start of a line, null when the label is missing."""
     pattern = "(?imd)" + LABELLED.format(re.escape(label).replace("\\ ", " "))
-    return F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
+    # The plain substring test spares most labels the regular expression.
+    named = F.contains(F.lower(text), F.lit(label.lower()))
+    return F.when(named, F.nullif(F.regexp_extract(text, pattern, 1), F.lit("")))
 
 
 def label_extract(text: Column) -> dict[str, Column]:

@@ -88,55 +88,68 @@ def process_documents(documents: DataFrame, strict: bool = False) -> DataFrame:
     )
 
 
+def document_rows(processed: DataFrame) -> DataFrame:
+    """Rows of the documents table."""
+    return processed.select(
+        F.col("document_id").alias("id"),
+        *(["session_id"] if "session_id" in processed.columns else []),
+        "filename",
+        F.col("filename").alias("original_filename"),
+        "document_type",
+        "json_output",
+        F.col("raw_text").alias("ocr_text"),
+        "raw_llm_response",
+        F.col("json_output").alias("extracted_json"),
+        F.to_json("validation", {"ignoreNullFields": "false"}).alias("validation_result"),
+        "excel_file_path",
+        "confidence",
+        "status",
+        "processing_time",
+        "page_count",
+        "extraction_engine",
+        F.to_json("processing_timings").alias("processing_timings"),
+        *(["created_at"] if "created_at" in processed.columns else []),
+    )
+
+
+def extraction_rows(documents: DataFrame) -> DataFrame:
+    """The extraction logged with each stored document."""
+    return documents.select(
+        F.col("id").alias("document_id"),
+        F.col("ocr_text").alias("raw_text"),
+        "json_output",
+        F.col("extraction_engine").alias("engine"),
+        "confidence",
+    )
+
+
+def audit_rows(documents: DataFrame) -> DataFrame:
+    """The audit entry logged with each stored document."""
+    payload = F.struct(
+        "document_type",
+        "status",
+        "confidence",
+        F.col("extraction_engine").alias("engine"),
+        "ocr_text",
+        "raw_llm_response",
+        "json_output",
+        F.col("validation_result").alias("validation_corrections"),
+    )
+    return documents.select(
+        F.col("id").alias("document_id"),
+        F.lit("system").alias("actor"),
+        F.lit("processed").alias("event_type"),
+        F.to_json(payload).alias("payload"),
+    )
+
+
 def persist_projections(processed: DataFrame) -> dict[str, DataFrame]:
     """Rows of the three tables a processed document is written to."""
-    validation = F.to_json("validation", {"ignoreNullFields": "false"})
-    audit = F.to_json(
-        F.struct(
-            "document_type",
-            "status",
-            "confidence",
-            F.col("extraction_engine").alias("engine"),
-            F.col("raw_text").alias("ocr_text"),
-            "raw_llm_response",
-            "json_output",
-            validation.alias("validation_corrections"),
-        )
-    )
+    documents = document_rows(processed)
     return {
-        "documents": processed.select(
-            F.col("document_id").alias("id"),
-            *(["session_id"] if "session_id" in processed.columns else []),
-            "filename",
-            F.col("filename").alias("original_filename"),
-            "document_type",
-            "json_output",
-            F.col("raw_text").alias("ocr_text"),
-            "raw_llm_response",
-            F.col("json_output").alias("extracted_json"),
-            validation.alias("validation_result"),
-            "excel_file_path",
-            "confidence",
-            "status",
-            "processing_time",
-            "page_count",
-            "extraction_engine",
-            F.to_json("processing_timings").alias("processing_timings"),
-            *(["created_at"] if "created_at" in processed.columns else []),
-        ),
-        "extractions": processed.select(
-            "document_id",
-            "raw_text",
-            "json_output",
-            F.col("extraction_engine").alias("engine"),
-            "confidence",
-        ),
-        "audit_logs": processed.select(
-            "document_id",
-            F.lit("system").alias("actor"),
-            F.lit("processed").alias("event_type"),
-            audit.alias("payload"),
-        ),
+        "documents": documents,
+        "extractions": extraction_rows(documents),
+        "audit_logs": audit_rows(documents),
     }
 
 

@@ -16,13 +16,13 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from docproof.operators.assembly import CHUNKS_PER_SEGMENT, parse_chunks
 
 OUTPUT = "req_id long, segment long, text string, n_chunks long, eval_count long, done_reason string, closed boolean"
-STATE = "seqs array<long>, contents array<string>, eval_count long, done_reason string"
+STATE = "seqs array<long>, contents array<string>, closing_seq long, eval_count long, done_reason string"
 
 
 def _collect(
     key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, timeout_ms: int | None
 ) -> Iterator[pd.DataFrame]:
-    seqs, contents, eval_count, reason = state.get if state.exists else ([], [], 0, None)
+    seqs, contents, closing_seq, eval_count, reason = state.get if state.exists else ([], [], -1, 0, None)
     pieces = dict(zip(seqs, contents))
     for batch in batches:
         # A repeated chunk of a retried producer overwrites itself.
@@ -30,11 +30,14 @@ def _collect(
         closing = batch[batch["done"]]
         if len(closing):
             last = closing.loc[closing["seq"].idxmax()]
-            eval_count, reason = int(last["eval_count"]), str(last["done_reason"])
+            closing_seq, eval_count, reason = int(last["seq"]), int(last["eval_count"]), str(last["done_reason"])
     ordered = sorted(pieces.items())
-    complete = reason is not None or len(pieces) >= key[2]
+    _, segment, span = key
+    # Chunks may arrive in any order: the closing record says how many there are, it does not end the wait for them.
+    wanted = span if reason is None else closing_seq - segment * span + 1
+    complete = sum(1 for s, _ in ordered if reason is None or s <= closing_seq) >= wanted
     if not (complete or state.hasTimedOut):
-        state.update(([s for s, _ in ordered], [c for _, c in ordered], eval_count, reason))
+        state.update(([s for s, _ in ordered], [c for _, c in ordered], closing_seq, eval_count, reason))
         if timeout_ms is not None:
             state.setTimeoutDuration(timeout_ms)
         return
@@ -43,7 +46,7 @@ def _collect(
     yield pd.DataFrame(
         {
             "req_id": [key[0]],
-            "segment": [key[1]],
+            "segment": [segment],
             "text": ["".join(c for _, c in ordered)],
             "n_chunks": [sum(1 for _, c in ordered if c)],
             "eval_count": [eval_count],
@@ -56,12 +59,12 @@ def _collect(
 def token_stream(
     chunks: DataFrame, chunks_per_segment: int = CHUNKS_PER_SEGMENT, timeout_ms: int | None = None
 ) -> DataFrame:
-    """One row per finished span: full spans at once, the last one when its closing record arrives.
+    """One row per finished span: a full span at once, the last one when all up to its closing record are there.
 
     With a timeout, for queries that run on, a span that never completes is emitted as it is when the time is up, with
     ``closed`` false. A query that drains what has arrived and ends must not set one: it would wait for the time.
     """
-    spans = parse_chunks(chunks).withColumns(
+    spans = parse_chunks(chunks, keep_broken=True).withColumns(
         {"segment": F.floor(F.col("seq") / chunks_per_segment), "span": F.lit(chunks_per_segment)}
     )
     return spans.groupBy("req_id", "segment", "span").applyInPandasWithState(
