@@ -79,6 +79,32 @@ def normalize_issues(text: Column) -> Column:
     )
 
 
+def flatten_json(variant: Column, depth: int = 5) -> Column:
+    """``array<struct<path, value>>`` of every leaf, with dotted paths; arrays are one leaf, given as JSON text.
+
+    Objects nested deeper than ``depth`` stay whole as JSON text, so nothing is left out.
+    """
+    entries_of = lambda v: F.coalesce(
+        F.map_entries(F.try_variant_get(v, "$", "map<string,variant>")),
+        F.array().cast("array<struct<key:string,value:variant>>"),
+    )
+    is_object = lambda v: F.coalesce(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), F.lit(False))
+
+    def one_level_down(entries: Column) -> Column:
+        inner = lambda e: F.transform(
+            entries_of(e["value"]),
+            lambda x: F.struct(F.concat(e["key"], F.lit("."), x["key"]).alias("key"), x["value"].alias("value")),
+        )
+        return F.flatten(F.transform(entries, lambda e: F.when(is_object(e["value"]), inner(e)).otherwise(F.array(e))))
+
+    entries = entries_of(variant)
+    for _ in range(depth - 1):
+        entries = one_level_down(entries)
+    return F.transform(
+        entries, lambda e: F.struct(e["key"].alias("path"), e["value"].cast("string").alias("value"))
+    )
+
+
 def flatten_object(variant: Column, paths: dict[str, str]) -> list[Column]:
     """Named columns out of nested JSON; arrays come back as JSON text."""
     return [json_path_text(variant, path).alias(name) for name, path in paths.items()]

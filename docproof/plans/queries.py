@@ -784,18 +784,23 @@ def map_to_canonical(spark, d):
     return exports.map_to_canonical(_alias_records(spark, d), "json_output", "id")
 
 
+@query
+def flatten_json(spark, d):
+    leaves = js.flatten_json(F.col("answer"))
+    return val.with_answer(b.invoices(spark, d)).select("doc_id", F.inline(leaves))
+
+
 _FLAT_PATHS = {
-    "document.number": "$.document.number",
-    "document.date": "$.document.date",
-    "vendor.name_en": "$.vendor.name_en",
-    "customer.name_en": "$.customer.name_en",
-    "metadata.notes": "$.metadata.notes",
+    "document_number": "$.document.number",
+    "document_date": "$.document.date",
+    "vendor_name_en": "$.vendor.name_en",
+    "notes": "$.metadata.notes",
     "document_type": "$.document_type",
 }
 
 
 @query
-def flatten_json(spark, d):
+def flatten_object(spark, d):
     return val.with_answer(b.invoices(spark, d)).select("doc_id", *js.flatten_object(F.col("answer"), _FLAT_PATHS))
 
 

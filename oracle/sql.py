@@ -333,9 +333,27 @@ def build() -> dict[str, str]:
     can_alias = i.canonical("js")
     sql["map_to_canonical"] = f"""WITH {alias} SELECT id, {', '.join(f'{can_alias[f]} AS {f}' for f in C.CANONICAL_FIELDS)}
       FROM al"""
-    flat_paths = ("document.number", "document.date", "vendor.name_en", "customer.name_en", "metadata.notes", "document_type")
-    sql["flatten_json"] = f"""{vals} SELECT doc_id, {', '.join(f'''json_extract_string(a, '$.{p}') AS "{p}"''' for p in flat_paths)}
-      FROM vals"""
+    leaves = {
+        "document": ("number", "date", "currency"),
+        "vendor": ("name_ar", "name_en", "vat_number", "address_ar", "address_en"),
+        "customer": ("name_ar", "name_en", "address_ar", "address_en"),
+        "metadata": ("purchase_order", "reference_number", "payment_terms", "notes"),
+    }
+    leaf_paths = ["document_type"] + [f"{s}.{n}" for s, names in leaves.items() for n in names]
+    text_leaves = " UNION ALL ".join(
+        f"SELECT doc_id, '{p}' AS path, json_extract_string(a, '$.{p}') AS value FROM m" for p in leaf_paths
+    )
+    # Numbers come back without trailing zeros.
+    number_leaves = " UNION ALL ".join(
+        f"SELECT doc_id, 'financials.{n}', regexp_replace(json_extract_string(a, '$.financials.{n}')::VARCHAR, '[.]0$', '') FROM m"
+        for n in C.AMOUNT_FIELDS
+    )
+    sql["flatten_json"] = f"""WITH {inv}, m AS MATERIALIZED (SELECT doc_id, {i.model_json('raw_llm_response')} AS a FROM inv WHERE k <> 8)
+      {text_leaves} UNION ALL {number_leaves}"""
+    flat_paths = {"document_number": "document.number", "document_date": "document.date",
+                  "vendor_name_en": "vendor.name_en", "notes": "metadata.notes", "document_type": "document_type"}
+    sql["flatten_object"] = f"""{vals} SELECT doc_id,
+      {', '.join(f"json_extract_string(a, '$.{p}') AS {n}" for n, p in flat_paths.items())} FROM vals"""
     sql["json_path_get"] = """SELECT event_id, json_extract_string(props, '$.k') AS k,
       json_extract_string(props, '$.k.deeper') AS deeper, json_extract_string(props, '$.absent') AS absent FROM events"""
     sql["iso_day_bounds"] = """SELECT event_id, date_trunc('day', ts)::TIMESTAMP AS day_start,

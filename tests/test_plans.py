@@ -1,5 +1,7 @@
 """The shape of the physical plans."""
 
+import contextlib
+import io
 import re
 
 import pytest
@@ -35,7 +37,11 @@ def test_filter_on_status_neither_repeats_the_checks_nor_reads_more(spark, store
 
 def test_search_is_pushed_to_the_scan(spark, stored):
     docs = spark.read.parquet(stored).select(F.col("doc_id").alias("id"), "created_at", F.col("original_filename").alias("status"))
-    text = plan(search.filter_date_range(search.search_documents(docs, status="x"), "1997-01-01", "1997-02-01"))
+    found = search.filter_date_range(search.search_documents(docs, status="x"), "1997-01-01", "1997-02-01")
+    printed = io.StringIO()
+    with contextlib.redirect_stdout(printed):
+        found.explain("formatted")
+    text = printed.getvalue()
     pushed = re.search(r"PushedFilters: \[(.*?)\]", text).group(1)
     assert "EqualTo(original_filename,x)" in pushed and "GreaterThanOrEqual(created_at" in pushed
     assert "LessThan(created_at" in pushed
