@@ -30,7 +30,7 @@ HEADLINE = (
     "assemble_document_text",
     "assemble_token_stream",
     "clean_ocr",
-    "strip_html_text",
+    "strip_html",
     "normalize_number",
     "engine_compare",
     "stream_process",

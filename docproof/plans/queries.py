@@ -186,7 +186,7 @@ def _persisted(spark, d):
 
 
 @query
-def persist_documents(spark, d):
+def persist_document(spark, d):
     return _persisted(spark, d)["documents"].select(
         "id", "session_id", "filename", "original_filename", "document_type", "status", "confidence", "ocr_text",
         "raw_llm_response", "page_count", "extraction_engine",
@@ -212,7 +212,7 @@ def persist_audit(spark, d):
 
 @query
 def set_export_path(spark, d):
-    paths = b.sessions(spark, d).filter(F.col("id") % 2 == 0).select(
+    paths = b.sessions(spark, d).filter(F.col("created_at") >= "2001-06-01").select(
         F.col("id").alias("session_id"),
         F.concat(F.lit("exports/combined_export_"), F.col("id").cast("string"), F.lit(".xlsx")).alias("export_path"),
     )
@@ -260,13 +260,13 @@ def document_list_events(spark, d):
 @query
 def select_ids(spark, d):
     docs = _documents(spark, d)
-    return search.select_ids(docs, docs.filter(F.col("id") % 5 == 0).select("id")).select(*_SHORT)
+    return search.select_ids(docs, docs.filter(F.col("document_type") == "1-URGENT").select("id")).select(*_SHORT)
 
 
 @query
 def select_ids_all(spark, d):
     docs = _documents(spark, d)
-    return search.select_ids(docs, docs.filter(F.col("id") % 5 == 0).select("id"), limit=None).select(*_SHORT)
+    return search.select_ids(docs, docs.filter(F.col("document_type") == "1-URGENT").select("id"), limit=None).select(*_SHORT)
 
 
 @query
@@ -329,7 +329,7 @@ def recent_sessions(spark, d):
 
 
 def _doomed(spark, d):
-    return _documents(spark, d).filter(F.col("id") % 7 == 0).select("id")
+    return _documents(spark, d).filter(F.col("status") == "Rejected").select("id")
 
 
 @query
@@ -357,7 +357,7 @@ def _table_counts(left: dict[str, DataFrame]) -> DataFrame:
 def delete_session(spark, d):
     sessions = b.sessions(spark, d)
     left = relations.delete_sessions(
-        sessions, _documents(spark, d), sessions.filter(F.col("id") % 5 == 0).select("id"),
+        sessions, _documents(spark, d), sessions.filter(F.col("created_at") < "2001-06-01").select("id"),
         {"extractions": b.extractions(spark, d), "reviews": _reviews(spark, d), "audit_logs": b.audit_logs(spark, d)},
     )
     return _table_counts(left)
@@ -366,7 +366,7 @@ def delete_session(spark, d):
 @query
 def attach_session(spark, d):
     docs = _documents(spark, d)
-    assignment = docs.filter(F.col("id") % 4 == 1).select(
+    assignment = docs.filter(F.col("status") == "Needs Review").select(
         F.col("id").alias("document_id"), (F.col("id") + 1000000).alias("new_session_id")
     )
     return relations.attach_session(docs, assignment).select("id", "session_id")
@@ -572,7 +572,7 @@ def review_audit(spark, d):
 
 @query
 def session_reexport(spark, d):
-    edits = b.review_edits(spark, d).filter(F.col("document_id") % 77 == 0)
+    edits = b.review_edits(spark, d)
     rows = reviews.touched_sessions(reviews.apply_review(_stored(spark, d), edits), edits)
     return exports.export_session_rows(rows, "id").select(
         "session_id", "id", F.col("Invoice Number").alias("document_number"), F.col("Currency").alias("currency"),
@@ -581,7 +581,7 @@ def session_reexport(spark, d):
 
 
 def _json_updates(spark, d):
-    return _documents(spark, d).filter(F.col("id") % 9 == 0).select(
+    return _documents(spark, d).filter(F.col("document_type") == "2-HIGH").select(
         F.col("id").alias("document_id"), F.concat(F.lit('{"id":'), F.col("id").cast("string"), F.lit("}")).alias("json_output")
     )
 
@@ -598,7 +598,7 @@ def json_update_audit(spark, d):
 
 @query
 def upsert_latest(spark, d):
-    existing = read_table(spark, d, "customer").filter(F.col("c_custkey") % 2 == 0).select(
+    existing = read_table(spark, d, "customer").filter(F.col("c_acctbal") > 0).select(
         F.col("c_custkey").alias("user_id"), F.col("c_name").alias("full_name"), F.col("c_mktsegment").alias("email"),
         F.lit(None).cast("timestamp_ntz").alias("created_at"), F.lit(None).cast("timestamp_ntz").alias("last_login"),
     )
@@ -889,11 +889,13 @@ def has_html(spark, d):
     return pages.unionByName(docs).select("id", tx.has_html(F.col("text")).alias("has_html"))
 
 
-@query
-def strip_html_text(spark, d):
+def _strip_html(spark, d):
     return read_table(spark, d, "pages").select("page_id", strip_html(F.col("html")).alias("text"))
 
 
+QUERIES["strip_html"] = _strip_html
+
+
 @query
 def strip_tags_simple(spark, d):
     return read_table(spark, d, "pages").select("page_id", tx.strip_tags_simple(F.col("html")).alias("text"))

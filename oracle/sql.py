@@ -62,7 +62,7 @@ def build() -> dict[str, str]:
     )
     sql["export_col_width"] = f"""{stored}, cols AS (SELECT {', '.join(f'{can_session[f]} AS {f}' for _, f in C.EXPORT_COLUMNS)}
       FROM stored) {widths}"""
-    sql["persist_documents"] = f"""{fin} SELECT doc_id AS id, session_id, original_filename AS filename, original_filename,
+    sql["persist_document"] = f"""{fin} SELECT doc_id AS id, session_id, original_filename AS filename, original_filename,
       'invoice' AS document_type, status, confidence, ocr_text, raw_llm_response, 1::INTEGER AS page_count,
       'qwen_llm' AS extraction_engine, v_document_number AS document_number,
       json_extract_string(a, '$.vendor.name_en') AS vendor_name_en, s_document_date AS date_state FROM fin"""
@@ -70,9 +70,9 @@ def build() -> dict[str, str]:
       confidence FROM fin"""
     sql["persist_audit"] = f"""{fin} SELECT doc_id AS document_id, 'system' AS actor, 'processed' AS event_type, status,
       confidence, ocr_text FROM fin"""
-    path = lambda c: f"CASE WHEN {c} % 2 = 0 THEN 'exports/combined_export_' || {c} || '.xlsx' ELSE '' END"
-    sql["set_export_path"] = f"""WITH {docs} SELECT 'document' AS kind, id, {path('session_id')} AS excel_file_path FROM docs
-      UNION ALL SELECT 'session', c_custkey, {path('c_custkey')} FROM customer"""
+    path = lambda c: f"CASE WHEN {c} IN (SELECT id FROM sess WHERE created_at >= '2001-06-01'::TIMESTAMP) THEN 'exports/combined_export_' || {c} || '.xlsx' ELSE '' END"
+    sql["set_export_path"] = f"""WITH {docs}, {sess} SELECT 'document' AS kind, id, {path('session_id')} AS excel_file_path FROM docs
+      UNION ALL SELECT 'session', id, {path('id')} FROM sess"""
 
     # --- filters
     sql["search_text"] = f"WITH {docs} SELECT {short} FROM docs WHERE json_output ILIKE '%customer#0000001_7%'"
@@ -84,8 +84,8 @@ def build() -> dict[str, str]:
     sql["document_list"] = f"WITH {docs} SELECT {short}, {iso('created_at')} AS created_at FROM docs"
     sql["document_list_events"] = f"SELECT event_id AS id, {iso('ts')} AS created_at FROM events"
     newest = f"newest AS (SELECT * FROM docs ORDER BY created_at DESC, id DESC LIMIT 1000)"
-    sql["select_ids"] = f"WITH {docs}, {newest} SELECT {short} FROM newest WHERE id % 5 = 0"
-    sql["select_ids_all"] = f"WITH {docs} SELECT {short} FROM docs WHERE id % 5 = 0"
+    sql["select_ids"] = f"WITH {docs}, {newest} SELECT {short} FROM newest WHERE document_type = '1-URGENT'"
+    sql["select_ids_all"] = f"WITH {docs} SELECT {short} FROM docs WHERE document_type = '1-URGENT'"
     sql["public_json"] = "SELECT event_id, event_type || '=' || user_id AS public FROM events"
     n_issues = " + ".join(
         f"(f_{f} IN ('{C.MISSING}', '{C.INCORRECT}'))::BIGINT" for f in C.FIELDS
@@ -128,10 +128,10 @@ def build() -> dict[str, str]:
         f" UNION ALL {counted('audit_logs', 'document_id', f'audit WHERE {kept}')}"
     )
     tables = f"WITH {inv}, {i.EDITS}, {docs}, {extr}, {audit}, {sess}"
-    sql["delete_document"] = f"{tables}, gone AS (SELECT id FROM docs WHERE id % 7 = 0) {tail}"
-    sql["delete_session"] = f"""{tables}, gone AS (SELECT id FROM docs WHERE session_id % 5 = 0)
-      {counted('sessions', 'id', 'sess WHERE id % 5 <> 0')} UNION ALL {tail}"""
-    sql["attach_session"] = f"""WITH {docs} SELECT id, CASE WHEN id % 4 = 1 THEN id + 1000000 ELSE session_id END
+    sql["delete_document"] = f"{tables}, gone AS (SELECT id FROM docs WHERE status = 'Rejected') {tail}"
+    sql["delete_session"] = f"""{tables}, gone AS (SELECT id FROM docs WHERE session_id IN (SELECT id FROM sess WHERE created_at < '2001-06-01'::TIMESTAMP))
+      {counted('sessions', 'id', "sess WHERE created_at IS NULL OR created_at >= '2001-06-01'::TIMESTAMP")} UNION ALL {tail}"""
+    sql["attach_session"] = f"""WITH {docs} SELECT id, CASE WHEN status = 'Needs Review' THEN id + 1000000 ELSE session_id END
       AS session_id FROM docs"""
     sql["user_lookup"] = "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT user_id FROM events)"
 
@@ -252,16 +252,16 @@ def build() -> dict[str, str]:
     sql["review_audit"] = f"""WITH {inv}, {i.EDITS} SELECT document_id, 'reviewer' AS actor, 'reviewed' AS event_type,
       status FROM edits"""
     sql["session_reexport"] = f"""{stored} SELECT session_id, id,
-      CASE WHEN id % 77 = 0 THEN 'FIX-' || id ELSE js->>'$.document_number' END AS document_number,
-      CASE WHEN id % 77 = 0 THEN 'USD' ELSE js->>'$.currency' END AS currency,
+      CASE WHEN id % 7 = 0 THEN 'FIX-' || id ELSE js->>'$.document_number' END AS document_number,
+      CASE WHEN id % 7 = 0 THEN 'USD' ELSE js->>'$.currency' END AS currency,
       CASE WHEN js->>'$.financials.total_amount' IS NOT NULL THEN (js->>'$.financials.total_amount')::DOUBLE
-        WHEN id % 77 = 0 THEN 1000.5 + id % 1000 END AS total_amount
-      FROM stored WHERE session_id IN (SELECT session_id FROM stored WHERE id % 77 = 0)"""
+        WHEN id % 7 = 0 THEN 1000.5 + id % 1000 END AS total_amount
+      FROM stored WHERE session_id IN (SELECT session_id FROM stored WHERE id % 7 = 0 OR id % 11 = 0)"""
     upd = "'{\"id\":' || id || '}'"
-    sql["json_update"] = f"WITH {docs} SELECT id, CASE WHEN id % 9 = 0 THEN {upd} ELSE json_output END AS json_output FROM docs"
+    sql["json_update"] = f"WITH {docs} SELECT id, CASE WHEN document_type = '2-HIGH' THEN {upd} ELSE json_output END AS json_output FROM docs"
     sql["json_update_audit"] = f"""WITH {docs} SELECT id AS document_id, 'system' AS actor, 'json_updated' AS event_type,
-      {upd} AS payload FROM docs WHERE id % 9 = 0"""
-    sql["upsert_latest"] = """WITH old AS (SELECT c_custkey AS user_id, c_name, c_mktsegment FROM customer WHERE c_custkey % 2 = 0),
+      {upd} AS payload FROM docs WHERE document_type = '2-HIGH'"""
+    sql["upsert_latest"] = """WITH old AS (SELECT c_custkey AS user_id, c_name, c_mktsegment FROM customer WHERE c_acctbal > 0),
       new AS (SELECT user_id, max(event_id) AS e, arg_max(event_type, event_id) AS t, arg_max(ts, event_id) AS ts FROM events GROUP BY 1)
       SELECT coalesce(old.user_id, new.user_id) AS user_id,
         CASE WHEN new.user_id IS NULL THEN c_name ELSE 'User ' || e END AS full_name,

@@ -33,7 +33,7 @@ def _rows(table) -> list[tuple]:
 
 def _kind(t) -> str:
     text = str(t)
-    return {"large_string": "string", "int32": "int", "int64": "int"}.get(text, text)
+    return {"large_string": "string"}.get(text, text)
 
 
 def difference(df, con, sql: str) -> str | None:

@@ -25,7 +25,7 @@ def test_query(spark, small, con, name):
 
 def test_every_expected_result_has_a_query():
     assert set(EXPECTED) <= set(QUERIES)
-    assert set(QUERIES) - set(EXPECTED) == {"strip_html_text"}
+    assert set(QUERIES) - set(EXPECTED) == {"strip_html"}
 
 
 def test_entry(spark):
