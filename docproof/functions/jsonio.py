@@ -59,6 +59,11 @@ def public_keys(payload: Column) -> Column:
     return F.map_filter(payload, lambda k, _: ~F.startswith(k, F.lit("_")))
 
 
+def json_payload(value: Column, is_text: bool) -> Column:
+    """Text for a JSON column: text is passed through, anything else is serialised."""
+    return value if is_text else F.to_json(value, {"ignoreNullFields": "false"})
+
+
 def download_json(json_output: Column, extracted_json: Column) -> Column:
     return F.coalesce(F.nullif(json_output, F.lit("")), F.nullif(extracted_json, F.lit("")), F.lit("{}"))
 

@@ -855,8 +855,10 @@ def timings_map(spark, d):
 
 @query
 def json_payload(spark, d):
-    body = F.to_json(F.struct("event_type", F.struct("event_id", "user_id").alias("who"), F.lit("نعم").alias("note")))
-    payload = F.when(F.col("event_id") % 2 == 0, F.col("props")).otherwise(body)
+    body = F.struct("event_type", F.struct("event_id", "user_id").alias("who"), F.lit("نعم").alias("note"))
+    payload = F.when(F.col("event_id") % 2 == 0, js.json_payload(F.col("props"), is_text=True)).otherwise(
+        js.json_payload(body, is_text=False)
+    )
     return read_table(spark, d, "events").select("event_id", payload.alias("payload"))
 
 

@@ -313,8 +313,8 @@ def score(field: str) -> str:
 def scored() -> str:
     """Confidence, valid flag and status on top of the states.
 
-    The mean is taken over doubles with compensated summation in field order and rounded on the binary value: the
-    exact decimal expansion of the double mean is compared with the midpoint.
+    SQL cannot round the binary value of a mean, so the ties that go down are listed; ``tests/test_brute_force.py``
+    checks that list against plain float arithmetic for every combination of scores.
     """
     from docproof.operators.scoring import TIE_WEIGHTS, ties_rounded_down
 

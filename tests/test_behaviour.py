@@ -2,6 +2,7 @@
 
 import datetime as dtm
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -270,6 +271,76 @@ def test_children_of_a_document_that_holds_most_rows(spark):
     assert counts == {(0, "audit_log"): 4500, (1, "audit_log"): 500, (2, None): 1}
 
 
+def test_long_document_spreads_over_tasks(spark):
+    """The last shuffle is by document and segment, and the segments of a hot document are all there."""
+    rows = spark.range(4000).select(
+        F.when(F.col("id") < 3000, 1).otherwise(F.col("id")).alias("doc_id"), F.col("id").alias("page_no"),
+        *(F.lit("t").alias(f"{p}_text") for p in ("header", "body", "footer")), F.lit(1).alias("total_lines"),
+    )
+    out = assembly.assemble_document_text(rows, pages_per_segment=50)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(doc_id#\d+L?, segment#\d+L?", plan)
+    hot = out.filter("doc_id = 1")
+    assert hot.count() == 60 and out.count() == 60 + 1000
+    assert out.select(F.sum(F.size(F.split("text", "\n")))).first()[0] == 1001 * 5 + 1000 + 3000
+
+
+def test_session_exports_are_one_folder_per_session(spark, small, tmp_path):
+    rows = spark.range(300).select((F.col("id") % 3).alias("session_id"), F.col("id").alias("n"))
+    exports.write_session_exports(rows, str(tmp_path / "out"))
+    assert sorted(p.name for p in (tmp_path / "out").glob("session_id=*")) == [f"session_id={i}" for i in range(3)]
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 300
+    named = spark.createDataFrame([(1, 1), (2, 5)], "session_id long, n long").select(
+        exports.export_name(F.col("session_id"), F.col("n"))
+    )
+    assert [r[0] for r in named.collect()] == ["invoice", "combined_export_2"]
+
+
+def test_sources(spark, tmp_path):
+    (tmp_path / "files" / "sub").mkdir(parents=True)
+    for name in ("a.PDF", "sub/b.docx", "c.jpeg"):
+        (tmp_path / "files" / name).write_bytes(b"xyz")
+    listed = tables.list_files(spark, str(tmp_path / "files"))
+    manifest = tables.ingest_manifest(listed, F.col("path"), C.UPLOAD_SUFFIXES)
+    assert {(r["filename"], r["accepted"], r["length"]) for r in manifest.collect()} == {
+        ("a.PDF", True, 3), ("b.docx", False, 3), ("c.jpeg", True, 3),
+    }
+    old = spark.createDataFrame([(1, "{}")], "id long, json_output string")
+    new = spark.createDataFrame([(2, "{}", "text")], "id long, json_output string, ocr_text string")
+    old.write.parquet(str(tmp_path / "docs" / "p=1"))
+    new.write.parquet(str(tmp_path / "docs" / "p=2"))
+    read = {r["id"]: r for r in tables.read_documents(spark, str(tmp_path / "docs")).collect()}
+    assert read[1]["ocr_text"] == "" and read[2]["ocr_text"] == "text" and read[1]["processing_timings"] == "{}"
+
+
+def test_checkpoint_uses_the_shared_folder(spark):
+    from docproof.session import checkpoint
+
+    df = spark.range(10).filter("id > 3")
+    assert checkpoint(df).count() == 6
+    folder = spark.sparkContext.getCheckpointDir()
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    assert folder and (shared is None or shared in folder)
+
+
+def test_confidence_summary_is_small(spark):
+    row = analytics.confidence_summary(documents(spark, 100)).first()
+    assert row["quantiles"] == [0.5] * 5 and len(row["histogram"]) == 1
+
+
+def test_flatten_open_json(spark):
+    from docproof.functions.jsonio import flatten_json
+
+    raw = '{"a":{"b":{"c":1,"d":[1,{"x":2}]}},"e":null,"f":"t","g":{}}'
+    leaves = lambda depth: {
+        r["path"]: r["value"]
+        for r in spark.createDataFrame([(raw,)], "j string")
+        .select(F.inline(flatten_json(F.parse_json("j"), depth))).collect()
+    }
+    assert leaves(5) == {"a.b.c": "1", "a.b.d": '[1,{"x":2}]', "e": None, "f": "t"}
+    assert leaves(2) == {"a.b": '{"c":1,"d":[1,{"x":2}]}', "e": None, "f": "t"}
+
+
 def test_seed_and_backfill(spark):
     docs = documents(spark, 2)
     assert tables.seed_if_empty(docs).count() == 2
