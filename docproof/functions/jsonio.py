@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from docproof.functions.text import py_strip
+from docproof.functions.text import let, py_strip
 
 FENCE = r"```(?:json)?"
 TIMINGS_TYPE = "map<string,double>"
@@ -15,19 +15,21 @@ def _object_only(text: Column) -> Column:
     """A variant when the text is one JSON object and nothing else, else null."""
     # The parser stops after the first value; inside brackets anything that follows it becomes an error or an element.
     listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    alone = F.try_variant_get(listed, "$[1]", "variant").isNull()
-    return F.when(
-        F.startswith(F.ltrim(text), F.lit("{")) & F.endswith(F.rtrim(text), F.lit("}")) & alone,
-        F.try_variant_get(listed, "$[0]", "variant"),
+    alone = lambda v: F.when(
+        F.try_variant_get(v, "$[1]", "variant").isNull(), F.try_variant_get(v, "$[0]", "variant")
     )
+    braced = F.startswith(F.ltrim(text), F.lit("{")) & F.endswith(F.rtrim(text), F.lit("}"))
+    return F.when(braced, let(listed, alone))
 
 
 def parse_model_json(text: Column) -> Column:
     """The object a model answered with: fences removed, else the outermost braces, else null."""
-    clean = py_strip(F.regexp_replace(text, FENCE, ""))
-    # Only reached when the clean text is not an object by itself.
-    braces = F.nullif(F.regexp_extract(clean, r"(?s)\{.*\}", 0), F.lit(""))
-    return F.coalesce(_object_only(clean), _object_only(braces))
+    outermost = lambda c: F.nullif(F.regexp_extract(c, r"(?s)\{.*\}", 0), F.lit(""))
+    return let(
+        py_strip(F.regexp_replace(text, FENCE, "")),
+        # The second part is only reached when the clean text is not an object by itself.
+        lambda c: F.coalesce(_object_only(c), let(outermost(c), _object_only)),
+    )
 
 
 def json_path_text(variant: Column, path: str) -> Column:

