@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -13,43 +14,56 @@ from pyspark.sql import types as T
 from docproof import constants as C
 from docproof.functions.text import HTML_TAG, has_html
 
-_TAG = re.compile(HTML_TAG)
-_GAPS = re.compile(r"\n{3,}")
 
+def _reader() -> Callable[[str | None], str | None]:
+    """The reader as a closure, so that it travels to the executors whole and they need no copy of this package."""
+    block_tags, tag_pattern, gaps = C.BLOCK_TAGS, re.compile(HTML_TAG), re.compile(r"\n{3,}")
 
-class _TextCollector(HTMLParser):
-    """Collects character data; block tags on either side leave a line break."""
+    class TextCollector(HTMLParser):
+        """Collects character data; block tags on either side leave a line break."""
 
-    def __init__(self) -> None:
-        super().__init__()
-        self.pieces: list[str] = []
+        def __init__(self) -> None:
+            HTMLParser.__init__(self)
+            self.pieces: list[str] = []
 
-    def _break(self, tag: str) -> None:
-        if tag in C.BLOCK_TAGS and self.pieces and self.pieces[-1][-1:] != "\n":
-            self.pieces.append("\n")
+        def line_break(self, tag: str) -> None:
+            if tag in block_tags and self.pieces and self.pieces[-1][-1:] != "\n":
+                self.pieces.append("\n")
 
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        self._break(tag)
+        def handle_starttag(self, tag: str, attrs: list) -> None:
+            self.line_break(tag)
 
-    def handle_endtag(self, tag: str) -> None:
-        self._break(tag)
+        def handle_endtag(self, tag: str) -> None:
+            self.line_break(tag)
 
-    def handle_data(self, data: str) -> None:
-        self.pieces.append(data)
+        def handle_data(self, data: str) -> None:
+            self.pieces.append(data)
 
+    def read(source: str | None) -> str | None:
+        if source is None or ">" not in source or not tag_pattern.search(source):
+            return source
+        collector = TextCollector()
+        # The reader is not closed: text it holds back for an unfinished entity at the end stays out, as expected of it.
+        collector.feed(source)
+        return gaps.sub("\n\n", "".join(collector.pieces)).strip()
 
-def html_text(source: str | None) -> str | None:
-    if source is None or ">" not in source or not _TAG.search(source):
-        return source
-    collector = _TextCollector()
-    # The reader is not closed: text it holds back for an unfinished entity at the end stays out, as expected of it.
-    collector.feed(source)
-    return _GAPS.sub("\n\n", "".join(collector.pieces)).strip()
+    return read
 
 
-@F.pandas_udf(T.StringType())
-def _strip_html_batch(source: pd.Series) -> pd.Series:
-    return source.map(html_text)
+html_text = _reader()
+
+
+def _batch_reader():
+    read = html_text
+
+    @F.pandas_udf(T.StringType())
+    def strip_html_batch(source: pd.Series) -> pd.Series:
+        return source.map(read)
+
+    return strip_html_batch
+
+
+_strip_html_batch = _batch_reader()
 
 
 def strip_html(text: Column) -> Column:

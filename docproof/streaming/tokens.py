@@ -19,41 +19,44 @@ OUTPUT = "req_id long, segment long, text string, n_chunks long, eval_count long
 STATE = "seqs array<long>, contents array<string>, closing_seq long, eval_count long, done_reason string"
 
 
-def _collect(
-    key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, timeout_ms: int | None
-) -> Iterator[pd.DataFrame]:
-    seqs, contents, closing_seq, eval_count, reason = state.get if state.exists else ([], [], -1, 0, None)
-    pieces = dict(zip(seqs, contents))
-    for batch in batches:
-        # A repeated chunk of a retried producer overwrites itself.
-        pieces.update(zip(batch["seq"].tolist(), batch["content"].tolist()))
-        closing = batch[batch["done"]]
-        if len(closing):
-            last = closing.loc[closing["seq"].idxmax()]
-            closing_seq, eval_count, reason = int(last["seq"]), int(last["eval_count"]), str(last["done_reason"])
-    ordered = sorted(pieces.items())
-    _, segment, span = key
-    # Chunks may arrive in any order: the closing record says how many there are, it does not end the wait for them.
-    wanted = span if reason is None else closing_seq - segment * span + 1
-    complete = sum(1 for s, _ in ordered if reason is None or s <= closing_seq) >= wanted
-    if not (complete or state.hasTimedOut):
-        state.update(([s for s, _ in ordered], [c for _, c in ordered], closing_seq, eval_count, reason))
-        if timeout_ms is not None:
-            state.setTimeoutDuration(timeout_ms)
-        return
-    if state.exists:
-        state.remove()
-    yield pd.DataFrame(
-        {
-            "req_id": [key[0]],
-            "segment": [segment],
-            "text": ["".join(c for _, c in ordered)],
-            "n_chunks": [sum(1 for _, c in ordered if c)],
-            "eval_count": [eval_count],
-            "done_reason": [reason],
-            "closed": [complete],
-        }
-    )
+def _collector(timeout_ms: int | None):
+    """The state function as a closure, so that executors need no copy of this package."""
+
+    def collect(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        seqs, contents, closing_seq, eval_count, reason = state.get if state.exists else ([], [], -1, 0, None)
+        pieces = dict(zip(seqs, contents))
+        for batch in batches:
+            # A repeated chunk of a retried producer overwrites itself.
+            pieces.update(zip(batch["seq"].tolist(), batch["content"].tolist()))
+            closing = batch[batch["done"]]
+            if len(closing):
+                last = closing.loc[closing["seq"].idxmax()]
+                closing_seq, eval_count, reason = int(last["seq"]), int(last["eval_count"]), str(last["done_reason"])
+        ordered = sorted(pieces.items())
+        _, segment, span = key
+        # Chunks may arrive in any order: the closing record says how many there are, it does not end the wait for them.
+        wanted = span if reason is None else closing_seq - segment * span + 1
+        complete = sum(1 for s, _ in ordered if reason is None or s <= closing_seq) >= wanted
+        if not (complete or state.hasTimedOut):
+            state.update(([s for s, _ in ordered], [c for _, c in ordered], closing_seq, eval_count, reason))
+            if timeout_ms is not None:
+                state.setTimeoutDuration(timeout_ms)
+            return
+        if state.exists:
+            state.remove()
+        yield pd.DataFrame(
+            {
+                "req_id": [key[0]],
+                "segment": [segment],
+                "text": ["".join(c for _, c in ordered)],
+                "n_chunks": [sum(1 for _, c in ordered if c)],
+                "eval_count": [eval_count],
+                "done_reason": [reason],
+                "closed": [complete],
+            }
+        )
+
+    return collect
 
 
 def token_stream(
@@ -68,7 +71,7 @@ def token_stream(
         {"segment": F.floor(F.col("seq") / chunks_per_segment), "span": F.lit(chunks_per_segment)}
     )
     return spans.groupBy("req_id", "segment", "span").applyInPandasWithState(
-        lambda key, batches, state: _collect(key, batches, state, timeout_ms),
+        _collector(timeout_ms),
         OUTPUT,
         STATE,
         "append",

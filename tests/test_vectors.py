@@ -155,3 +155,21 @@ def test_sql_functions_agree_with_columns(spark):
         numbers.amount_grounded(F.lit(5.0), v),
     )
     assert [tuple(r) for r in by_sql.collect()] == [tuple(r) for r in by_column.collect()]
+
+
+def test_python_functions_need_no_package_on_executors(tmp_path):
+    """A worker without this package on its path can load and run them."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    from docproof.streaming.tokens import _collector
+
+    (tmp_path / "f.pkl").write_bytes(cloudpickle.dumps((html_text, _collector(None))))
+    code = (
+        "import pickle, sys; read, _ = pickle.load(open('f.pkl', 'rb'));"
+        "assert not [m for m in sys.modules if m.startswith('docproof')]; print(read('<p>a</p>b'))"
+    )
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, check=True)
+    assert out.stdout.strip() == "a\nb"
