@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docproof.functions.text import file_suffix, safe_basename
+from docproof.functions.text import file_stem, file_suffix, safe_basename
 
 # Columns that older document tables lack, with the value they are filled with.
 ADDED_COLUMNS = {
@@ -103,8 +103,6 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
 
 def storage_name(filename: Column, file_id: Column) -> Column:
     """Unique stored name. Derived from the file's identity, so a retried task writes the same name."""
-    from docproof.functions.text import file_stem
-
     mark = F.substr(F.sha2(F.concat_ws("#", filename, file_id.cast("string")), 256), F.lit(1), F.lit(12))
     return F.concat(file_stem(filename), F.lit("_"), mark, file_suffix(filename))
 
