@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docproof.llm import shards, topk, urls
+from docproof.llm import pieces, shards, token_files, topk, urls
 from docproof.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,3 +73,22 @@ FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec
 def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return shards.shard_records(table(spark, folder, "documents"), [1.0] * SHARDS)
 
+
+
+def _tokenizer(name: str) -> bytes:
+    """A vocabulary file of a public tokenizer; read by the driver and sent along, executors need no copy."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path(name), "rb") as file:
+        return file.read()
+
+
+@query
+def op2_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.digest_documents(table(spark, folder, "documents"), _tokenizer("piece_bpe_32k.model"))
+
+
+@query
+def op8_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    model = _tokenizer("byte_bpe_50k.json").decode()
+    return token_files.token_files(table(spark, folder, "documents"), model, end_id=2, vocabulary=50_257)
