@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docproof.llm import pieces, shards, token_files, topk, urls
-from docproof.llm.common import table
+from docproof.llm import language, pieces, quality, shards, simhash, token_files, topk, urls
+from docproof.llm.common import remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -92,3 +92,25 @@ def op2_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
 def op8_token_files(spark: SparkSession, folder: str) -> DataFrame:
     model = _tokenizer("byte_bpe_50k.json").decode()
     return token_files.token_files(table(spark, folder, "documents"), model, end_id=2, vocabulary=50_257)
+
+
+@query
+def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    held_out = remainder(F.col("doc_id"), 5) == 0
+    model = language.fit(docs.filter(~held_out))
+    return language.predict(docs, model, [F.col("doc_id"), held_out.alias("held_out")])
+
+
+@query
+def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    held_out = remainder(F.col("doc_id"), 4) == 2
+    model = quality.fit(docs, labels.filter(~held_out))
+    return quality.predict(docs, model, [F.col("doc_id"), held_out.alias("held_out")])
+
+
+@query
+def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, folder, "documents"))
+    return found.select("doc_id", simhash.fingerprint_text(F.col("fp")).alias("fingerprint"), "component_id")
