@@ -103,6 +103,30 @@ def map_groups(df: DataFrame, keys: Sequence[str], fn: Callable[[pa.Table], pa.T
     return df.repartition(spread, *keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
+def labelled_sample(rows: DataFrame, text_id: str, text: str, label: str, per_label: int, chars: int) -> dict[str, list[str]]:
+    """Texts of each label for a classifier: at most ``chars`` characters of it reach the driver.
+
+    From each of ``per_label`` hash classes of the ids the row with the smallest hash is drawn, whatever the size of the
+    label; of rows that share an id the smallest text. Rows without text or label are passed over.
+    """
+    rows = rows.filter(F.col(label).isNotNull() & F.col(text).isNotNull())
+    drawn = F.xxhash64(F.col(text_id).cast("string"), F.lit("sample"))
+    rows = rows.select(F.col(label).cast("string").alias("label"), F.col(text).alias("text"), drawn.alias("drawn"))
+    slot = F.pmod("drawn", F.lit(per_label)).alias("slot")
+    chosen = rows.groupBy("label", slot).agg(F.min("drawn").alias("drawn"))
+    sample = rows.select("label", F.substring("text", 1, chars).alias("text"), "drawn", slot)
+    sample = sample.join(chosen, ["label", "slot", "drawn"], "left_semi")
+    sample = sample.groupBy("label", "drawn").agg(F.min("text").alias("text")).orderBy("label", "drawn")
+    texts: dict[str, list[str]] = {}
+    held: dict[str, int] = {}
+    for row in sample.toLocalIterator():
+        name = row["label"]
+        if held.get(name, 0) < chars:
+            texts.setdefault(name, []).append(row["text"][: chars - held.get(name, 0)])
+            held[name] = held.get(name, 0) + len(texts[name][-1])
+    return texts
+
+
 def group_starts(table: pa.Table, keys: Sequence[str]) -> np.ndarray:
     """First row of each group of a table sorted by ``keys``."""
     if not table.num_rows:

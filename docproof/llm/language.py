@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docproof.llm.common import map_text
+from docproof.llm.common import labelled_sample, map_text
 
 DOCS_PER_LANGUAGE = 256
 CHARS_PER_LANGUAGE = 60_000
@@ -109,7 +109,7 @@ class LanguageModel:
             table = np.where(table > 0, (table + at) * self.symbols, ~((table[0] + at) * self.symbols)).astype(np.int32)
             starts.append(at * self.symbols)
             tables.append(table.ravel())
-            at += len(table) // 1
+            at += len(table)
             self.rates.append(math.log2(max(2, len(codes))))
         self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
         self.starts = np.array(starts, np.int32)
@@ -168,24 +168,8 @@ class LanguageModel:
 
 def fit(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
         docs_per_language: int = DOCS_PER_LANGUAGE, chars: int = CHARS_PER_LANGUAGE) -> LanguageModel:
-    """Fit on rows of (text, lang). For each language one row is drawn from each of ``docs_per_language`` hash classes
-    of the id: the one with the smallest hash. At most ``chars`` characters of it reach the driver."""
-    rows = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    drawn = F.xxhash64(F.col(doc_id).cast("string"), F.lit("language"))
-    rows = rows.select(F.col(lang).alias("lang"), F.col(text).alias("text"), drawn.alias("drawn"))
-    slot = F.pmod("drawn", F.lit(docs_per_language)).alias("slot")
-    chosen = rows.groupBy("lang", slot).agg(F.min("drawn").alias("drawn"))
-    # Rows that share an id share the draw; the smallest text stands for them, cut to what one language may use.
-    sample = rows.select("lang", F.substring("text", 1, chars).alias("text"), "drawn", slot)
-    sample = sample.join(chosen, ["lang", "slot", "drawn"], "left_semi")
-    sample = sample.groupBy("lang", "drawn").agg(F.min("text").alias("text")).orderBy("lang", "drawn")
-    texts: dict[str, list[str]] = {}
-    held: dict[str, int] = {}
-    for row in sample.toLocalIterator():
-        if held.get(row["lang"], 0) < chars:
-            texts.setdefault(row["lang"], []).append(row["text"])
-            held[row["lang"]] = held.get(row["lang"], 0) + len(row["text"])
-    return LanguageModel(texts, chars)
+    """Fit on a bounded sample of the rows that have a text and a language."""
+    return LanguageModel(labelled_sample(labelled, doc_id, text, lang, docs_per_language, chars), chars)
 
 
 def predict(docs: DataFrame, model: LanguageModel, keep: list[Column] | None = None, text: str = "text") -> DataFrame:

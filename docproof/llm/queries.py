@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docproof.llm import language, pieces, quality, shards, simhash, token_files, topk, urls
+from docproof.llm import language, mixing, pieces, quality, shards, simhash, token_files, topk, urls
 from docproof.llm.common import remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,7 @@ URL_RULES = (
     ("com", "/de/", "block"),
 )
 SHARDS = 16
+DOMAIN_TARGETS = {"en": 0.50, "de": 0.18, "fr": 0.18, "es": 0.14}
 
 
 def query(fn: Query) -> Query:
@@ -97,16 +98,16 @@ def op8_token_files(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
-    held_out = remainder(F.col("doc_id"), 5) == 0
-    model = language.fit(docs.filter(~held_out))
+    held_out = F.coalesce(remainder(F.col("doc_id"), 5) == 0, F.lit(False))
+    model = language.fit(docs.filter(remainder(F.col("doc_id"), 5) != 0))
     return language.predict(docs, model, [F.col("doc_id"), held_out.alias("held_out")])
 
 
 @query
 def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
-    held_out = remainder(F.col("doc_id"), 4) == 2
-    model = quality.fit(docs, labels.filter(~held_out))
+    held_out = F.coalesce(remainder(F.col("doc_id"), 4) == 2, F.lit(False))
+    model = quality.fit(docs, labels.filter(remainder(F.col("doc_id"), 4) != 2))
     return quality.predict(docs, model, [F.col("doc_id"), held_out.alias("held_out")])
 
 
@@ -114,3 +115,9 @@ def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
 def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, folder, "documents"))
     return found.select("doc_id", simhash.fingerprint_text(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@query
+def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return mixing.mix(docs, docs.withColumnRenamed("lang", "domain"), DOMAIN_TARGETS)
