@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docproof.llm import language, mixing, pieces, quality, shards, simhash, token_files, topk, urls
+from docproof.llm import embed_dedup, language, mixing, pieces, quality, shards, simhash, token_files, topk, urls
 from docproof.llm.common import remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -121,3 +121,8 @@ def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
 def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return mixing.mix(docs, docs.withColumnRenamed("lang", "domain"), DOMAIN_TARGETS)
+
+
+@query
+def op4_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return embed_dedup.near_duplicates(table(spark, folder, "embeddings"))
