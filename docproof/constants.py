@@ -34,6 +34,14 @@ DECIMAL_DIGITS_TO = "".join(str(unicodedata.decimal(c)) for c in _DECIMALS)
 
 ARABIC_DECIMAL_SEPARATOR = "٫"
 
+# --- markup -----------------------------------------------------------------------------------------------
+
+HTML_TAG = r"</?[a-zA-Z][^>]*>"
+ANY_TAG = r"<[^>]+>"
+# Numeric references that stand for another character, by the HTML standard.
+REPLACED_CODES = tuple((0x80 + i, c) for i, c in enumerate(
+    "€\x81‚ƒ„…†‡ˆ‰Š‹Œ\x8dŽ\x8f\x90‘’“”•–—˜™š›œ\x9džŸ")) + ((0x0D, "\r"),)
+
 # --- fields -----------------------------------------------------------------------------------------------
 
 FIELDS = (

@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from docproof import constants as C
 
 NON_ALNUM = r"[^\p{L}\p{N}]+"
-HTML_TAG = r"</?[a-zA-Z][^>]*>"
-ANY_TAG = r"<[^>]+>"
 LINE_BREAK = f"\r\n|[{C.LINE_BREAKS}]"
 BLANK_RUN = f"[{C.LINE_BLANKS}]+"
 
@@ -63,16 +61,7 @@ def status_slug(status: Column) -> Column:
 
 
 def has_html(text: Column) -> Column:
-    return F.coalesce(F.contains(text, F.lit(">")) & F.rlike(text, F.lit(HTML_TAG)), F.lit(False))
-
-
-def strip_tags_simple(text: Column) -> Column:
-    """Tags to line breaks and the five basic entities decoded, for text the tag-aware reader cannot take."""
-    out = F.regexp_replace(text, ANY_TAG, "\n")
-    # ``&amp;`` goes last so that ``&amp;lt;`` decodes one level only.
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return py_strip(F.regexp_replace(out, "\n{3,}", "\n\n"))
+    return F.coalesce(F.contains(text, F.lit(">")) & F.rlike(text, F.lit(C.HTML_TAG)), F.lit(False))
 
 
 def split_lines(text: Column) -> Column:

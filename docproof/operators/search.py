@@ -85,8 +85,8 @@ def newest(documents: DataFrame, n: int) -> DataFrame:
     return sort_by_any(documents).limit(n)
 
 
-def select_ids(documents: DataFrame, ids: DataFrame, limit: int | None = 1000) -> DataFrame:
-    """Documents whose id is listed, taken from the newest ``limit`` ones; ``limit=None`` looks at all."""
+def select_ids(documents: DataFrame, ids: DataFrame, limit: int | None = None) -> DataFrame:
+    """Documents whose id is listed; with a ``limit``, taken from the newest ones only."""
     pool = documents if limit is None else newest(documents, limit)
     return pool.join(ids.select("id"), "id", "left_semi")
 

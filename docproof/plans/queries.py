@@ -21,6 +21,7 @@ from docproof.functions import jsonio as js
 from docproof.functions import numbers as num
 from docproof.functions import text as tx
 from docproof.functions.html import strip_html
+from docproof.functions.html import strip_tags_simple as tags_to_lines
 from docproof.operators import analytics as an
 from docproof.operators import assembly, exports, ordered, relations, reviews, scoring, search
 from docproof.operators import fieldrules as rules
@@ -271,9 +272,9 @@ def select_ids(spark, d):
 
 
 @query
-def select_ids_all(spark, d):
+def select_ids_newest(spark, d):
     docs = _documents(spark, d)
-    return search.select_ids(docs, docs.filter(F.col("document_type") == "1-URGENT").select("id"), limit=None).select(*_SHORT)
+    return search.select_ids(docs, docs.filter(F.col("document_type") == "1-URGENT").select("id"), limit=1000).select(*_SHORT)
 
 
 @query
@@ -906,7 +907,7 @@ QUERIES["strip_html"] = _strip_html
 
 @query
 def strip_tags_simple(spark, d):
-    return read_table(spark, d, "pages").select("page_id", tx.strip_tags_simple(F.col("html")).alias("text"))
+    return read_table(spark, d, "pages").select("page_id", tags_to_lines(F.col("html")).alias("text"))
 
 
 @query

