@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 SLICE_BYTES = 4 << 20
 
@@ -36,6 +39,14 @@ def staged(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(f"{path}/t")
 
 
+def worker_cached(key: tuple, make: Callable[[], object]) -> object:
+    """What ``make`` gives, kept by the Python worker across its tasks; the last value of each kind (``key[0]``) stays."""
+    held = vars(sys.modules.setdefault("docproof_worker_cache", ModuleType("docproof_worker_cache")))
+    if held.get(key[0], (None, None))[0] != key:
+        held[key[0]] = (key, make())
+    return held[key[0]][1]
+
+
 def remainder(id_column: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo; null for a null id."""
     return F.crc32(id_column.cast("string").cast("binary")) % modulus
@@ -52,7 +63,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
                 yield batch.slice(a, b - a)
 
 
-def map_text(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, column: str = "text",
+def map_text(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType, column: str = "text",
              limit: int = SLICE_BYTES) -> DataFrame:
     """Apply ``fn`` to slices of a table, each of bounded text size."""
 
@@ -63,6 +74,17 @@ def map_text(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sche
     return df.mapInArrow(run, schema)
 
 
+def keep_where(docs: DataFrame, accept: Callable[[list[str]], np.ndarray], text: str = "text",
+               limit: int = SLICE_BYTES) -> DataFrame:
+    """The rows of ``docs``, as they are, whose text is accepted; null counts as empty."""
+
+    def run(batches):
+        for part in slices(batches, text, limit):
+            yield part.filter(pa.array(accept([t or "" for t in part.column(text).to_pylist()])))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def map_groups(df: DataFrame, keys: Sequence[str], fn: Callable[[pa.Table], pa.Table | None], schema: str,
                rows: int = 4096) -> DataFrame:
     """Bring the rows of each key together and apply ``fn`` to tables of whole groups.

@@ -23,12 +23,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from docproof.llm.common import labelled_sample, map_text
+from docproof.llm.common import keep_where, labelled_sample, map_text
 
 DOCS_PER_LANGUAGE = 256
 CHARS_PER_LANGUAGE = 60_000
 MAX_SYMBOLS = 126
+LEAST_SCORE = 0.4
+SLICE = 8 << 20  # bytes of text that move through the automata together
 GAP, UNKNOWN = 0, 1
 UNDETERMINED = "und"
 
@@ -183,5 +186,16 @@ def predict(docs: DataFrame, model: LanguageModel, keep: list[Column] | None = N
         columns = [*(batch.column(c) for c in kept), pa.array(names, pa.string()), pa.array(scores, pa.float64())]
         return pa.RecordBatch.from_arrays(columns, names=[*kept, "lang_pred", "score"])
 
-    schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes[:-1])
-    return map_text(rows, run, f"{schema}{', ' if schema else ''}lang_pred string, score double", "__text", 8 << 20)
+    schema = StructType([*rows.schema.fields[:-1], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    return map_text(rows, run, schema, "__text", SLICE)
+
+
+def accepted(docs: DataFrame, model: LanguageModel, least_score: float = LEAST_SCORE, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` in a language the model knows, with at least ``least_score``; the others go."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def accept(texts: list[str]) -> np.ndarray:
+        names, scores = shared.value.predict(texts)
+        return (np.array(names) != UNDETERMINED) & (scores >= least_score)
+
+    return keep_where(docs, accept, text, SLICE)

@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from docproof.llm.common import labelled_sample, map_text, staged
 
@@ -233,7 +234,6 @@ def mixed_documents(docs: DataFrame, labelled: DataFrame, targets: Mapping[str,
         rates = _rates(steps, shared.value.posteriors(texts), tokens, least)
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(rates)], names=[*batch.schema.names, "__rate"])
 
-    schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
-    rated = map_text(docs, run, f"{schema}, __rate double", text)
+    rated = map_text(docs, run, StructType([*docs.schema.fields, StructField("__rate", DoubleType())]), text)
     times = F.explode(F.sequence(F.lit(1), _copies(F.col("__rate"), F.col(doc_id))))
     return rated.filter(_copies(F.col("__rate"), F.col(doc_id)) > 0).withColumn("__copy", times).select(*docs.columns)

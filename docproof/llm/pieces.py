@@ -17,7 +17,7 @@ import hashlib
 import heapq
 import re
 import struct
-from functools import lru_cache
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docproof.llm.chunks import ChunkCache
-from docproof.llm.common import map_text
+from docproof.llm.common import map_text, worker_cached
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = range(1, 7)
@@ -438,9 +438,8 @@ def _lenient(data: bytes) -> str:
     return "".join(out)
 
 
-@lru_cache(maxsize=2)
 def load(model: bytes) -> PieceModel:
-    return PieceModel(model)
+    return worker_cached(("piece model", zlib.crc32(model)), lambda: PieceModel(model))
 
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string"
@@ -451,18 +450,23 @@ def _digest(data: bytes) -> str:
 
 
 def encode_documents(docs: DataFrame, model: bytes, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, ids, starts, stops, decoded): piece ids, their bytes in the original text, and the text they spell."""
+    """(doc_id, n_tokens, ids, starts, stops, decoded) of every row: piece ids, the bytes of the original text each one
+    stands for, and the text that the ids spell."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         found, decoded = _encoded(batch, shared.value)
-        lists = [[f[0] for f in found], [f[1][:, 0] for f in found], [f[1][:, 1] for f in found]]
-        columns = [pa.array(v, pa.list_(pa.int64())) for v in lists]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns, pa.array(decoded, pa.string())],
-                                          names=["doc_id", "ids", "starts", "stops", "decoded"])
+        counts = np.array([len(ids) for ids, _ in found], np.int64)
+        offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+        ids = np.concatenate([ids for ids, _ in found]).astype(np.int32)
+        spans = np.concatenate([s for _, s in found])
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(v))) for v in (ids, spans[:, 0], spans[:, 1])]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts), *lists, pa.array(decoded, pa.string())],
+                                          names=["doc_id", "n_tokens", "ids", "starts", "stops", "decoded"])
 
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return map_text(rows, run, "doc_id long, ids array<long>, starts array<long>, stops array<long>, decoded string", limit=1 << 20)
+    schema = "doc_id long, n_tokens long, ids array<int>, starts array<long>, stops array<long>, decoded string"
+    return map_text(rows, run, schema, limit=1 << 20)
 
 
 def digest_documents(docs: DataFrame, model: bytes, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -17,8 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from docproof.llm.common import map_text
+from docproof.llm.common import keep_where, map_text
 
 SAMPLE_ROWS = 20_000
 BINS = 64
@@ -27,13 +28,13 @@ TREES = 80
 RATE = 0.15
 L2 = 1.0
 THRESHOLD = 0.7
+SLICE = 2 << 20
 
 SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 LOWER, CAPITAL, DIGIT, BLANK, NEWLINE, OTHER = range(6)
 CLASSES = 6 + len(SIGNS)
 
 
-
 @lru_cache(maxsize=1)
 def _classes() -> np.ndarray:
     """Class of every character."""
@@ -209,5 +210,11 @@ def predict(docs: DataFrame, model: Trees, keep: list[Column] | None = None, tex
         columns = [*(batch.column(c) for c in kept), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))]
         return pa.RecordBatch.from_arrays(columns, names=[*kept, "score", "predicted"])
 
-    schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes[:-1])
-    return map_text(rows, run, f"{schema}{', ' if schema else ''}score double, predicted int", "__text", 2 << 20)
+    schema = StructType([*rows.schema.fields[:-1], StructField("score", DoubleType()), StructField("predicted", IntegerType())])
+    return map_text(rows, run, schema, "__text", SLICE)
+
+
+def accepted(docs: DataFrame, model: Trees, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` with a score of at least ``threshold``; the others go."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return keep_where(docs, lambda texts: shared.value.predict(statistics(texts)) >= threshold, text, SLICE)

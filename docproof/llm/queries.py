@@ -76,7 +76,7 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
 
 
 
-def _tokenizer(name: str) -> bytes:
+def tokenizer_file(name: str) -> bytes:
     """A vocabulary file of a public tokenizer; read by the driver and sent along, executors need no copy."""
     import public_tokenizers
 
@@ -86,12 +86,12 @@ def _tokenizer(name: str) -> bytes:
 
 @query
 def op2_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
-    return pieces.digest_documents(table(spark, folder, "documents"), _tokenizer("piece_bpe_32k.model"))
+    return pieces.digest_documents(table(spark, folder, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
 @query
 def op8_token_files(spark: SparkSession, folder: str) -> DataFrame:
-    model = _tokenizer("byte_bpe_50k.json").decode()
+    model = tokenizer_file("byte_bpe_50k.json").decode()
     return token_files.token_files(table(spark, folder, "documents"), model, end_id=2, vocabulary=50_257)
 
 
