@@ -8,9 +8,9 @@ its number without reading the others and is used in place.
 A task's files have names of their own and count once the manifest, written by Spark, names them; so a repeated or
 lost task leaves no doubt about what belongs to the result.
 
-Texts are encoded by the tokenizers library. For byte-level tokenizers whose splitting never looks across a chunk (one
-optional space and the non-space characters after it, or white space), distinct chunks are encoded once and joined;
-texts with special tokens, and any other tokenizer, are encoded whole.
+Texts are encoded by the tokenizers library. For byte-level tokenizers, whose splitting never looks across a chunk as
+cut here, distinct chunks are encoded once and joined; texts with special tokens, and any other tokenizer, are encoded
+whole.
 
 Edge cases: a null or empty text has only the end id; a null doc_id sorts first; repeated rows are written as often as
 they come; equal ids lie side by side; texts of any length are encoded whole; an empty table gives an empty result.
@@ -22,6 +22,7 @@ import json
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,12 +32,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docproof.llm.chunks import ChunkCache
-from docproof.llm.common import shared_folder, slices, staged
+from docproof.llm.common import shared_folder, slices, staged, worker_cached
 
 SEQUENCE = 2048
 BATCH_SEQUENCES = 256
 SPACE, OTHER = r"[^\S\x1c-\x1f]", r"[\S\x1c-\x1f]"
-CHUNK = re.compile(f" ?{OTHER}+|{SPACE}+(?!{OTHER})|{SPACE}+")
+LETTERS, SIGNS = "[A-Za-zÀ-ÖØ-öø-ÿ]", "[.,!?;:*&$#%|]"
+# A run of letters up to a sign or space and a run of signs up to a letter or space end where the library's own
+# splitting ends, and so do non-space runs and the parts of white space.
+CHUNK = re.compile(
+    f" ?{LETTERS}+(?={SIGNS}|{SPACE}|\\Z)| ?{SIGNS}+(?={LETTERS}|{SPACE}|\\Z)| ?{OTHER}+|{SPACE}+(?!{OTHER})|{SPACE}+"
+)
+TOGETHER = 500
 
 
 def open_storage(uri: str) -> tuple[fs.FileSystem, str]:
@@ -67,19 +74,32 @@ class TextEncoder:
             and spec.get("normalizer") is None and spec.get("truncation") is None and spec.get("padding") is None
             and not any(t.get(k) for t in added for k in ("lstrip", "rstrip", "single_word"))
         )
-        self.cache = ChunkCache(self._whole)
+        self.chunks = ChunkCache(self._apart)
+        self.newline = self.tokenizer.encode("\n", add_special_tokens=False).ids
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for at in range(0, len(texts), 4096):
-            found = self.tokenizer.encode_batch_fast(texts[at : at + 4096], add_special_tokens=False)
-            out += [np.array(e.ids, "<u4").tobytes() for e in found]
-        return out
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [array("I", e.ids).tobytes() for e in found]
+
+    def _apart(self, chunks: list[str]) -> list[bytes]:
+        """Each chunk by itself; many that hold no line end are encoded as the lines of one text, which costs less."""
+        lines = [c for c in chunks if "\n" not in c and not c.isspace()] if len(self.newline) == 1 else []
+        known: dict[str, bytes] = {}
+        for at in range(0, len(lines), TOGETHER):
+            some = lines[at : at + TOGETHER]
+            ids = np.frombuffer(self._whole(["\n".join(some)])[0], "<u4")
+            cuts = [-1, *np.flatnonzero(ids == self.newline[0]).tolist(), len(ids)]
+            if len(cuts) == len(some) + 1:
+                data = ids.tobytes()
+                known.update((c, data[4 * a + 4 : 4 * b]) for c, a, b in zip(some, cuts, cuts[1:]))
+        rest = [c for c in chunks if c not in known]
+        known.update(zip(rest, self._whole(rest)))
+        return [known[c] for c in chunks]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         plain = [self.chunked and not any(s in t for s in self.special) for t in texts]
         parts = [CHUNK.findall(t) if p else [] for t, p in zip(texts, plain)]
-        known = self.cache.values(parts)
+        known = self.chunks.values(parts)
         join = b"".join
         return [join(map(known.__getitem__, c)) if p else self._whole([t])[0] for t, c, p in zip(texts, parts, plain)]
 
@@ -130,10 +150,16 @@ class SequenceFile:
         self.source = pa.memory_map(path) if isinstance(store, fs.LocalFileSystem) else store.open_input_file(path)
         self.reader = pa.ipc.open_file(self.source)
         self.width = self.reader.schema.field("ids").type.list_size
+        self.number, self.batch = -1, None
+
+    def _batch(self, number: int) -> pa.RecordBatch:
+        if number != self.number:
+            self.number, self.batch = number, self.reader.get_batch(number)
+        return self.batch
 
     def sequence(self, number: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and mask of one sequence."""
-        batch = self.reader.get_batch(number // BATCH_SEQUENCES)
+        batch = self._batch(number // BATCH_SEQUENCES)
         row = number % BATCH_SEQUENCES
         ids, mask = batch.column("ids")[row].values, batch.column("mask")[row].values
         return ids.to_numpy(zero_copy_only=True), mask.to_numpy(zero_copy_only=False)
@@ -142,7 +168,7 @@ class SequenceFile:
         """The ids from ``start`` on, in runs that lie together in the file."""
         full = self.width * BATCH_SEQUENCES
         while count > 0:
-            flat = self.reader.get_batch(start // full).column("ids").flatten().to_numpy(zero_copy_only=True)
+            flat = self._batch(start // full).column("ids").flatten().to_numpy(zero_copy_only=True)
             run = flat[start % full :][:count]
             if not len(run):
                 raise EOFError("the file ends before the ids do")
@@ -169,12 +195,12 @@ def write_tokens(docs: DataFrame, model: str, end_id: int, folder: str, sequence
         first = next(rows, None)
         if first is None:
             return
-        encoder = TextEncoder(shared.value)
+        encoder = worker_cached(("text encoder", zlib.crc32(shared.value.encode())), lambda: TextEncoder(shared.value))
         store, path = open_storage(place)
         store.create_dir(path, recursive=True)
         part = TaskContext.get().partitionId()
         name = f"{part:06d}-{uuid.uuid4().hex}"
-        tail = np.array([end_id], dtype)
+        tail = array("I", [end_id]).tobytes()
         n_docs = at = 0
         with store.open_output_stream(f"{path}/{name}.ids.arrow") as a, store.open_output_stream(f"{path}/{name}.docs.arrow") as b:
             out = SequenceWriter(a, sequence, kind)
@@ -182,12 +208,9 @@ def write_tokens(docs: DataFrame, model: str, end_id: int, folder: str, sequence
             index = pa.ipc.new_file(b, index_schema)
             while first is not None:
                 texts = [t or "" for t in first.column("text").to_pylist()]
-                sizes = np.zeros(len(texts), np.int64)
-                for i, ids in enumerate(encoder.encode(texts)):
-                    ids = np.frombuffer(ids, "<u4").astype(dtype)
-                    out.add(ids)
-                    out.add(tail)
-                    sizes[i] = len(ids) + 1
+                encoded = encoder.encode(texts)
+                sizes = np.array([len(ids) for ids in encoded], np.int64) // 4 + 1
+                out.add(np.frombuffer(tail.join([*encoded, b""]), "<u4").astype(dtype))
                 starts = at + np.cumsum(sizes) - sizes
                 columns = [first.column("doc_id").cast(pa.int64()), pa.array(starts), pa.array(sizes)]
                 index.write_batch(pa.RecordBatch.from_arrays(columns, schema=index_schema))
