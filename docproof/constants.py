@@ -34,6 +34,15 @@ DECIMAL_DIGITS_TO = "".join(str(unicodedata.decimal(c)) for c in _DECIMALS)
 
 ARABIC_DECIMAL_SEPARATOR = "٫"
 
+# What is stored of each section when a model gave no answer that can be read.
+EMPTY_SECTIONS = {
+    "document": '{"number":"","date":"","currency":""}',
+    "vendor": '{"name_ar":"","name_en":"","vat_number":"","address_ar":"","address_en":""}',
+    "customer": '{"name_ar":"","name_en":"","vat_number":"","address_ar":"","address_en":""}',
+    "financials": '{"subtotal":null,"tax_amount":null,"total_amount":null}',
+    "metadata": '{"purchase_order":"","reference_number":"","payment_terms":"","notes":""}',
+}
+
 # --- markup -----------------------------------------------------------------------------------------------
 
 HTML_TAG = r"</?[a-zA-Z][^>]*>"

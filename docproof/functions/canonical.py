@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docproof import constants as C
 from docproof.functions.jsonio import is_json_number, json_path_text
 from docproof.functions.numbers import normalize_number, parse_float_amount
-from docproof.functions.text import py_strip
+from docproof.functions.text import let, py_strip
 
 
 def truthy_coalesce(*texts: Column) -> Column:
@@ -28,39 +28,61 @@ def flat_amount(variant: Column, field: str) -> Column:
     )
 
 
-def flat_document_type(variant: Column) -> Column:
-    return truthy_coalesce(json_path_text(variant, "$.document_type"), F.lit("invoice"))
+def _fact(variant: Column, path: str) -> Column:
+    """Kind and text of one JSON value, looked up once."""
+    return let(
+        F.try_variant_get(variant, path, "variant"),
+        lambda v: F.struct(F.schema_of_variant(v).alias("kind"), v.cast("string").alias("text")),
+    )
 
 
-def _json_number(variant: Column, path: str) -> Column:
-    """A JSON value as number, texts through the lenient reader."""
-    return F.when(is_json_number(variant, path), F.try_variant_get(variant, path, "double")).otherwise(
-        normalize_number(json_path_text(variant, path))
+def _is_number(fact: Column) -> Column:
+    return F.rlike(fact["kind"], F.lit("^(BIGINT|DECIMAL|DOUBLE)"))
+
+
+def _is_present(fact: Column) -> Column:
+    kind, text = fact["kind"], fact["text"]
+    found = (
+        F.when(kind == "VOID", False)
+        .when(kind == "BOOLEAN", text == "true")
+        .when(_is_number(fact), text.cast("double") != 0)
+        .when(F.rlike(kind, F.lit("^(OBJECT|ARRAY)")), ~text.isin("{}", "[]"))
+        .otherwise(text != "")
     )
+    return F.coalesce(found, F.lit(False))
+
+
+def _first_present(variant: Column, paths: tuple[str, ...]) -> Column:
+    return F.get(F.filter(F.array(*(_fact(variant, p) for p in paths)), _is_present), F.lit(0))
+
+
+def _shown(fact: Column) -> Column:
+    """A JSON value as text; booleans as the replaced system spells them."""
+    return F.when(fact["kind"] == "BOOLEAN", F.initcap(fact["text"])).otherwise(fact["text"])
+
+
+def is_truthy(variant: Column, path: str) -> Column:
+    """Whether a JSON value counts as present: not null, false, zero, or an empty text, object or array."""
+    return let(_fact(variant, path), _is_present)
+
+
+def flat_document_type(variant: Column) -> Column:
+    return F.coalesce(let(_first_present(variant, ("$.document_type",)), _shown), F.lit("invoice"))
 
 
 def canonical_text(variant: Column, field: str) -> Column:
-    places = [json_path_text(variant, p) for p in C.CANONICAL_PATHS[field]]
     default = F.lit("invoice" if field == "document_type" else "")
-    return py_strip(truthy_coalesce(*places, default))
+    return py_strip(F.coalesce(let(_first_present(variant, C.CANONICAL_PATHS[field]), _shown), default))
 
 
 def canonical_amount(variant: Column, field: str) -> Column:
-    """The first present amount, read as a number.
+    """The first present amount, read as a number; where none is, the last place as it stands.
 
     The choice is made on presence, not on readability: an unreadable text hides the places after it.
     """
     paths = C.CANONICAL_PATHS[field]
-    pick = F.when(F.lit(False), F.lit(None).cast("double"))
-    for path in paths[:-1]:
-        text = json_path_text(variant, path)
-        number = is_json_number(variant, path)
-        # Zero counts as absent unless it stands in the last place.
-        present = F.when(number, F.try_variant_get(variant, path, "double") != 0).otherwise(
-            F.coalesce(text != "", F.lit(False))
-        )
-        pick = pick.when(present, _json_number(variant, path))
-    return pick.otherwise(_json_number(variant, paths[-1]))
+    read = lambda f: F.when(_is_number(f), f["text"].cast("double")).otherwise(normalize_number(f["text"]))
+    return let(F.coalesce(_first_present(variant, paths), _fact(variant, paths[-1])), read)
 
 
 def canonical_columns(variant: Column) -> list[Column]:

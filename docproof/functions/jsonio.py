@@ -86,15 +86,20 @@ def normalize_issues(text: Column) -> Column:
     )
 
 
-def flatten_json(variant: Column, depth: int = 5) -> Column:
-    """``array<struct<path, value>>`` of every leaf, with dotted paths; arrays are one leaf, given as JSON text.
-
-    Objects nested deeper than ``depth`` stay whole as JSON text, so nothing is left out.
-    """
-    entries_of = lambda v: F.coalesce(
-        F.map_entries(F.try_variant_get(v, "$", "map<string,variant>")),
-        F.array().cast("array<struct<key:string,value:variant>>"),
+def json_depth(text: Column) -> Column:
+    """How deep objects and arrays are nested in JSON text, at least 1."""
+    brackets = F.regexp_replace(F.regexp_replace(text, r'"(?:[^"\\\\]|\\\\.)*+"', ""), r"[^\[\]{}]+", "")
+    step = lambda a, c: F.struct(
+        (a["now"] + F.when(c.isin("{", "["), 1).otherwise(-1)).alias("now"), F.greatest(a["top"], a["now"]).alias("top")
     )
+    start = F.struct(F.lit(0).alias("now"), F.lit(1).alias("top"))
+    return F.aggregate(F.split(brackets, ""), start, step, lambda a: a["top"])
+
+
+def flatten_json(variant: Column) -> Column:
+    """``array<struct<path, value>>`` of every leaf at any depth, with dotted paths; arrays are one leaf, as JSON text."""
+    no_entries = F.array().cast("array<struct<key:string,value:variant>>")
+    entries_of = lambda v: F.coalesce(F.map_entries(F.try_variant_get(v, "$", "map<string,variant>")), no_entries)
     is_object = lambda v: F.coalesce(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), F.lit(False))
 
     def one_level_down(entries: Column) -> Column:
@@ -104,9 +109,8 @@ def flatten_json(variant: Column, depth: int = 5) -> Column:
         )
         return F.flatten(F.transform(entries, lambda e: F.when(is_object(e["value"]), inner(e)).otherwise(F.array(e))))
 
-    entries = entries_of(variant)
-    for _ in range(depth - 1):
-        entries = one_level_down(entries)
+    levels = F.sequence(F.lit(1), json_depth(F.coalesce(variant.cast("string"), F.lit(""))))
+    entries = F.aggregate(levels, entries_of(variant), lambda entries, _: one_level_down(entries))
     return F.transform(
         entries, lambda e: F.struct(e["key"].alias("path"), e["value"].cast("string").alias("value"))
     )

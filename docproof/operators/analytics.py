@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docproof import constants as C
@@ -55,8 +55,25 @@ def session_accuracy_of_maps(sessions: DataFrame, documents: DataFrame) -> DataF
     return _accuracy(sessions, counts)
 
 
+def one_decimal(x: Column) -> Column:
+    """A non-negative double rounded to one decimal as its binary value says; exact ties go to the even digit.
+
+    Twenty times the value is the sum of two exact products, so what its addition rounds off is known exactly, and
+    with it the side of a half on which the value lies.
+    """
+    high, low = x * 16.0, x * 4.0
+    twenty = high + low
+    lost = low - (twenty - high)
+    halves = F.rint(twenty)
+    side = (twenty - halves) + lost
+    down = F.floor(halves / 2)
+    odd = halves % 2 == 1
+    up = (side > 0) | ((side == 0) & (down % 2 == 1))
+    return F.when(odd & up, down + 1).when(odd, down).otherwise(halves / 2).cast("double") / 10.0
+
+
 def _accuracy(sessions: DataFrame, counts: DataFrame) -> DataFrame:
-    share = F.round(F.col("good") * 100 / F.col("total"), 1)
+    share = one_decimal(F.col("good") / F.col("total") * 100)
     return (
         sessions.select(F.col("id").alias("session_id"))
         .join(counts, "session_id", "left")

@@ -93,6 +93,8 @@ def invoices(spark: SparkSession, folder: str) -> DataFrame:
         vat_no,
         F.lit('","address_ar":"حي '),
         _text("c_nationkey"),
+        F.lit('","phone":"05'),
+        _text("s_suppkey"),
         F.lit('","address_en":"'),
         "n_name",
         F.lit('"},"customer":{"name_ar":"العميل '),
@@ -104,8 +106,13 @@ def invoices(spark: SparkSession, folder: str) -> DataFrame:
         F.lit(',"tax_amount":'),
         money(F.col("tax_c")),
         F.lit(',"total_amount":'),
-        F.when(k == 6, F.concat(F.lit('"SAR '), money(total), F.lit('"'))).otherwise(money(total)),
-        F.lit('},"metadata":{"purchase_order":"","reference_number":"","payment_terms":"","notes":""}}'),
+        F.when(doc % 30 == 6, F.concat(F.lit('"SAR '), money(total), F.lit('"')))
+        .when(doc % 30 == 16, F.concat(F.lit('"'), F.replace(money(total), F.lit("."), F.lit(",")), F.lit('"')))
+        .when(doc % 30 == 26, F.concat(F.lit('"'), money(total), F.lit(' ريال"')))
+        .otherwise(money(total)),
+        F.lit('},"metadata":{"purchase_order":"","reference_number":"","payment_terms":"","notes":""'),
+        F.when(k == 3, F.lit(',"extra":{"b":{"c":{"d":{"e":{"f":{"g":"deep"}}}}}}')).otherwise(""),
+        F.lit("}}"),
     )
     extension = F.when(doc % 9 == 8, "docx").when(doc % 2 == 0, "PDF").otherwise("png")
     return base.select(
@@ -115,6 +122,8 @@ def invoices(spark: SparkSession, folder: str) -> DataFrame:
         "k",
         "n_lines",
         F.concat(F.lit("invoice_"), _text("doc_id"), F.lit("."), extension).alias("original_filename"),
+        F.concat(F.lit("uploads/"), _text("doc_id")).alias("file_path"),
+        (F.col("n_lines") % 3 + 1).cast("int").alias("page_count"),
         F.when(k == 5, F.translate(text, "0123456789", ARABIC_INDIC)).otherwise(text).alias("ocr_text"),
         F.when(k == 8, "not json")
         .when(k == 7, F.concat(F.lit("```json\n"), answer, F.lit("\n```")))
@@ -198,7 +207,9 @@ def extractions(spark: SparkSession, folder: str) -> DataFrame:
 
 def review_edits(spark: SparkSession, folder: str) -> DataFrame:
     """Reviewer edits of every invoice: corrections on ids divisible by 7, then a rejection on those by 11."""
-    inv = invoices(spark, folder).select("doc_id")
+    # Every order with lines is an invoice.
+    lines = read_table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("doc_id"))
+    inv = read_table(spark, folder, "orders").select(F.col("o_orderkey").alias("doc_id")).join(lines, "doc_id", "left_semi")
     doc = F.col("doc_id")
     fields = F.create_map(
         F.lit("total_amount"),

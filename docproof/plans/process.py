@@ -9,17 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docproof import constants as C
-from docproof.functions.canonical import flat_document_type
-from docproof.functions.jsonio import json_path_text, timings_map
+from docproof.functions.canonical import flat_document_type, is_truthy
+from docproof.functions.jsonio import timings_map
 from docproof.operators import validation as val
 
-NESTED = {
-    "vendor": ("name_ar", "name_en", "vat_number", "address_ar", "address_en"),
-    "customer": ("name_ar", "name_en", "vat_number", "address_ar", "address_en"),
-    "metadata": ("purchase_order", "reference_number", "payment_terms", "notes"),
-}
-
-
 def validation_struct() -> Column:
     """Everything known about the check of a document, kept whole with the stored record."""
     return F.struct(
@@ -32,27 +25,38 @@ def validation_struct() -> Column:
     )
 
 
-def payload_json() -> Column:
-    """The stored JSON: flat fields, the nested answer, and the private confidence and validation entries."""
+def _section(name: str) -> Column:
+    """A nested section of the answer as the model gave it; an absent one is empty, without an answer it is blank."""
     answer = F.col("answer")
+    given = F.when(is_truthy(answer, f"$.{name}"), F.try_variant_get(answer, f"$.{name}", "variant"))
+    blank = F.when(answer.isNull(), F.parse_json(F.lit(C.EMPTY_SECTIONS[name])))
+    return F.coalesce(given, blank, F.parse_json(F.lit("{}")))
+
+
+def _with_currency(document: Column) -> Column:
+    """The document section with the normalised currency; a section that is no object stays as it is."""
+    entries = F.try_variant_get(document, "$", "map<string,variant>")
+    own = F.create_map(F.lit("currency"), F.col("v_currency").cast("variant"))
+    changed = F.to_variant_object(F.map_concat(F.map_filter(entries, lambda k, _: k != "currency"), own))
+    is_object = F.startswith(F.schema_of_variant(document), F.lit("OBJECT"))
+    return F.when(is_object & (F.col("v_currency") != ""), changed).otherwise(document)
+
+
+def payload_json() -> Column:
+    """The stored JSON: flat fields, the sections of the answer whole, and the private confidence and validation entries.
+
+    Amounts are read for the flat fields only; in their section they stay as the model wrote them.
+    """
     flat = [F.col(f"v_{f}").alias(f) for f in C.FIELDS[:13]]
-    section = lambda name, keys: F.struct(*(json_path_text(answer, f"$.{name}.{k}").alias(k) for k in keys)).alias(name)
-    document = F.struct(
-        F.col("v_document_number").alias("number"),
-        F.col("v_document_date").alias("date"),
-        F.col("v_currency").alias("currency"),
-    ).alias("document")
-    financials = F.struct(*(F.col(f"v_{f}").alias(f) for f in C.AMOUNT_FIELDS)).alias("financials")
     checked = F.struct(
         "valid", "issues", val.states_map().alias("field_states"), val.confidences_map().alias("field_confidences")
     )
     return F.to_json(
         F.struct(
             *flat,
-            flat_document_type(answer).alias("document_type"),
-            document,
-            financials,
-            *(section(name, keys) for name, keys in NESTED.items()),
+            flat_document_type(F.col("answer")).alias("document_type"),
+            _with_currency(_section("document")).alias("document"),
+            *(_section(name).alias(name) for name in ("vendor", "customer", "financials", "metadata")),
             F.col("confidence").alias("_confidence"),
             checked.alias("_validation"),
         ),
@@ -63,13 +67,15 @@ def payload_json() -> Column:
 def process_documents(documents: DataFrame, strict: bool = False) -> DataFrame:
     """One result row per input row, in one pass without a shuffle.
 
-    Needs ``doc_id``, ``original_filename``, ``ocr_text``, ``raw_llm_response`` and ``processing_timings``; other
-    columns are carried along.
+    Needs ``doc_id``, ``original_filename``, ``ocr_text``, ``raw_llm_response`` and ``processing_timings``; takes
+    ``page_count`` (else 1) and carries other columns along, ``file_path`` and ``session_id`` among them.
     """
     checked = val.validate(documents, strict)
     timings = timings_map(F.col("processing_timings"))
     seconds = F.aggregate(F.map_values(timings), F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))
-    carried = [c for c in documents.columns if c not in ("doc_id", "original_filename", "ocr_text", "processing_timings")]
+    used = ("doc_id", "original_filename", "ocr_text", "processing_timings", "page_count")
+    carried = [c for c in documents.columns if c not in used]
+    pages = F.coalesce(F.col("page_count").cast("int"), F.lit(1)) if "page_count" in documents.columns else F.lit(1)
     return checked.select(
         F.col("doc_id").alias("document_id"),
         F.col("original_filename").alias("filename"),
@@ -82,7 +88,7 @@ def process_documents(documents: DataFrame, strict: bool = False) -> DataFrame:
         F.col("ocr_text").alias("raw_text"),
         F.lit("").alias("excel_file_path"),
         F.round(seconds, 4).alias("processing_time"),
-        F.lit(1).alias("page_count"),
+        pages.alias("page_count"),
         timings.alias("processing_timings"),
         *carried,
     )
@@ -95,6 +101,7 @@ def document_rows(processed: DataFrame) -> DataFrame:
         *(["session_id"] if "session_id" in processed.columns else []),
         "filename",
         F.col("filename").alias("original_filename"),
+        (F.col("file_path") if "file_path" in processed.columns else F.lit(None).cast("string")).alias("file_path"),
         "document_type",
         "json_output",
         F.col("raw_text").alias("ocr_text"),
@@ -108,7 +115,7 @@ def document_rows(processed: DataFrame) -> DataFrame:
         "page_count",
         "extraction_engine",
         F.to_json("processing_timings").alias("processing_timings"),
-        *(["created_at"] if "created_at" in processed.columns else []),
+        *(["created_at", F.col("created_at").alias("updated_at")] if "created_at" in processed.columns else []),
     )
 
 

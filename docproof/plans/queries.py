@@ -71,6 +71,13 @@ def _stored(spark: SparkSession, d: str) -> DataFrame:
     return process.persist_projections(process.process_documents(b.invoices(spark, d)))["documents"]
 
 
+def _written(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """A table written to the scratch folder and read back, for operators that read it more than once."""
+    path = scratch_dir(spark) + "/table"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def _parsed(documents: DataFrame) -> DataFrame:
     """Stored JSON parsed once per row."""
     return documents.withColumns(
@@ -223,7 +230,9 @@ def set_export_path(spark, d):
     paths = b.sessions(spark, d).filter(F.col("created_at") >= "2001-06-01").select(
         F.col("id").alias("session_id"),
         F.concat(F.lit("exports/combined_export_"), F.col("id").cast("string"), F.lit(".xlsx")).alias("export_path"),
+        F.lit(2).alias("seq"),
     )
+    paths = paths.unionByName(paths.withColumn("export_path", F.lit("exports/zz_older.xlsx")).withColumn("seq", F.lit(1)))
     stamped = exports.set_export_path(_documents(spark, d), b.sessions(spark, d), paths)
     docs = stamped["documents"].select(F.lit("document").alias("kind"), "id", "excel_file_path")
     return docs.unionByName(stamped["sessions"].select(F.lit("session").alias("kind"), "id", "excel_file_path"))
@@ -293,6 +302,7 @@ def document_detail(spark, d):
     return _parsed(_stored(spark, d)).select(
         "id", "filename", "status", "confidence", "page_count",
         F.try_variant_get(stored, "$.total_amount", "double").alias("total_amount"),
+        F.try_variant_get(validation, "$.score", "double").alias("kept_score"),
         F.try_variant_get(validation, "$.valid", "boolean").alias("valid"),
         F.size(F.try_variant_get(validation, "$.issues", "array<variant>")).cast("long").alias("n_issues"),
         _map_text(js.timings_map(F.col("processing_timings"))).alias("timings"),
@@ -374,8 +384,10 @@ def delete_session(spark, d):
 def attach_session(spark, d):
     docs = _documents(spark, d)
     assignment = docs.filter(F.col("status") == "Needs Review").select(
-        F.col("id").alias("document_id"), (F.col("id") + 1000000).alias("new_session_id")
+        F.col("id").alias("document_id"), (F.col("id") + 1000000).alias("new_session_id"), F.lit(2).alias("seq")
     )
+    older = assignment.withColumn("new_session_id", F.col("document_id") + 2000000).withColumn("seq", F.lit(1))
+    assignment = assignment.unionByName(older)
     return relations.attach_session(docs, assignment).select("id", "session_id")
 
 
@@ -552,6 +564,7 @@ def _review_columns(df: DataFrame) -> DataFrame:
         F.try_variant_get(stored, "$.total_amount", "double").alias("flat_total"),
         canon.canonical_amount(stored, "total_amount").alias("exported_total"),
         *(c.alias(f"exported_{k}") for k, c in canonical.items()),
+        F.try_variant_get(validation, "$.score", "double").alias("kept_score"),
         F.try_variant_get(validation, "$.valid", "boolean").alias("valid"),
         F.size(F.try_variant_get(validation, "$.issues", "array<variant>")).cast("long").alias("n_issues"),
         F.when(
@@ -580,7 +593,7 @@ def review_audit(spark, d):
 @query
 def session_reexport(spark, d):
     edits = b.review_edits(spark, d)
-    rows = reviews.touched_sessions(reviews.apply_review(_stored(spark, d), edits), edits)
+    rows = reviews.apply_review(reviews.touched_sessions(_written(spark, _stored(spark, d)), edits), edits)
     return exports.export_session_rows(rows, "id").select(
         "session_id", "id", F.col("Invoice Number").alias("document_number"), F.col("Currency").alias("currency"),
         F.col("Total").alias("total_amount"),
@@ -588,9 +601,13 @@ def session_reexport(spark, d):
 
 
 def _json_updates(spark, d):
-    return _documents(spark, d).filter(F.col("document_type") == "2-HIGH").select(
-        F.col("id").alias("document_id"), F.concat(F.lit('{"id":'), F.col("id").cast("string"), F.lit("}")).alias("json_output")
+    """One update of each urgent document, after an older one of those with an even id."""
+    last = _documents(spark, d).filter(F.col("document_type") == "2-HIGH").select(
+        F.col("id").alias("document_id"), F.concat(F.lit('{"id":'), F.col("id").cast("string"), F.lit("}")).alias("json_output"),
+        F.lit(2).alias("seq"),
     )
+    older = last.filter(F.col("document_id") % 2 == 0).withColumn("json_output", F.lit('{"z":"older"}'))
+    return last.unionByName(older.withColumn("seq", F.lit(1)))
 
 
 @query
@@ -1032,7 +1049,10 @@ def _flat_result(processed: DataFrame) -> DataFrame:
         js.json_path_text(stored, "$.document.currency").alias("currency"),
         F.try_variant_get(stored, "$.total_amount", "double").alias("total_amount"),
         F.length("raw_text").cast("long").alias("text_length"),
-        "page_count", "processing_time",
+        "page_count", "processing_time", "file_path",
+        F.when(~js.is_json_number(stored, "$.financials.total_amount"),
+               js.json_path_text(stored, "$.financials.total_amount")).alias("raw_total"),
+        js.json_path_text(stored, "$.vendor.phone").alias("vendor_phone"),
     )
 
 
@@ -1169,8 +1189,8 @@ def stream_trend(spark, d):
     events = b.audit_logs(spark, d).select("id", "created_at")
     _arrive(events, f"{base}/in")
     stream = jobs.read_arrivals(spark, f"{base}/in", events.schema)
-    jobs.run_to_table(jobs.trend_stream(stream), f"{base}/out", f"{base}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{base}/out")
+    jobs.trend_to_table(jobs.trend_stream(stream), f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return jobs.read_trend(spark, f"{base}/out")
 
 
 @query
@@ -1183,4 +1203,4 @@ def stream_tokens(spark, d):
     stream = jobs.read_arrivals(spark, f"{base}/in", chunks.schema)
     out = tokens.token_stream(stream)
     jobs.run_to_table(out, f"{base}/out", f"{base}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{base}/out").filter("closed").select("req_id", "segment", "text", "n_chunks", "done_reason")
+    return tokens.complete_spans(spark.read.parquet(f"{base}/out"), spark.read.parquet(f"{base}/in"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from docproof.operators.assembly import CHUNKS_PER_SEGMENT, parse_chunks
+from docproof.operators.assembly import CHUNKS_PER_SEGMENT, finish_spans, parse_chunks, token_spans
 
 OUTPUT = "req_id long, segment long, text string, n_chunks long, eval_count long, done_reason string, closed boolean"
 STATE = "seqs array<long>, contents array<string>, closing_seq long, eval_count long, done_reason string"
@@ -77,3 +77,16 @@ def token_stream(
         "append",
         GroupStateTimeout.NoTimeout if timeout_ms is None else GroupStateTimeout.ProcessingTimeTimeout,
     )
+
+
+def complete_spans(emitted: DataFrame, arrived: DataFrame, chunks_per_segment: int = CHUNKS_PER_SEGMENT) -> DataFrame:
+    """The texts of all requests after a stream has ended, as ``assemble_token_stream`` gives them.
+
+    ``emitted`` is what the stream wrote; spans it still waited for are built from ``arrived``, so nothing is lost when
+    a request was given up or has a gap. (A stream that runs on frees them by its timeout.)
+    """
+    seq = F.col("segment").alias("seq")
+    closing = F.when(F.col("done_reason").isNotNull(), F.struct(seq, "eval_count", "done_reason"))
+    done = emitted.select("req_id", "segment", "text", "n_chunks", closing.alias("closing"))
+    waiting = token_spans(arrived, chunks_per_segment).join(done.select("req_id", "segment"), ["req_id", "segment"], "left_anti")
+    return finish_spans(done.unionByName(waiting))

@@ -153,18 +153,21 @@ def _invoices() -> str:
         " || '\",\"currency\":\"' || CASE WHEN k = 9 THEN 'Saudi Riyal' ELSE 'SAR' END"
         " || '\"},\"vendor\":{\"name_ar\":\"المورد ' || s_suppkey || '\",\"name_en\":\"' || s_name"
         f" || '\",\"vat_number\":\"' || {vat} || '\",\"address_ar\":\"حي ' || c_nationkey"
-        " || '\",\"address_en\":\"' || n_name || '\"},\"customer\":{\"name_ar\":\"العميل ' || session_id"
+        " || '\",\"phone\":\"05' || s_suppkey || '\",\"address_en\":\"' || n_name || '\"},\"customer\":{\"name_ar\":\"العميل ' || session_id"
         " || '\",\"name_en\":\"' || c_name || '\",\"address_ar\":\"\",\"address_en\":\"\"},\"financials\":{\"subtotal\":'"
         f" || {money('sub_c')} || ',\"tax_amount\":' || {money('tax_c')} || ',\"total_amount\":'"
-        f" || CASE WHEN k = 6 THEN '\"SAR ' || {money('tot_c')} || '\"' ELSE {money('tot_c')} END"
-        " || '},\"metadata\":{\"purchase_order\":\"\",\"reference_number\":\"\",\"payment_terms\":\"\",\"notes\":\"\"}}'"
+        f" || CASE doc_id % 30 WHEN 6 THEN '\"SAR ' || {money('tot_c')} || '\"'"
+        f" WHEN 16 THEN '\"' || replace({money('tot_c')}, '.', ',') || '\"'"
+        f" WHEN 26 THEN '\"' || {money('tot_c')} || ' ريال\"' ELSE {money('tot_c')} END"
+        " || '},\"metadata\":{\"purchase_order\":\"\",\"reference_number\":\"\",\"payment_terms\":\"\",\"notes\":\"\"'"
+        " || CASE WHEN k = 3 THEN ',\"extra\":{\"b\":{\"c\":{\"d\":{\"e\":{\"f\":{\"g\":\"deep\"}}}}}}' ELSE '' END || '}}'"
     )
     return f"""{_INV_BASE},
 inv_text AS (SELECT *, {text} AS txt, {answer} AS ans FROM inv_base),
 inv AS (
   SELECT doc_id, session_id, created_at, k, n_lines,
     'invoice_' || doc_id || '.' || CASE WHEN doc_id % 9 = 8 THEN 'docx' WHEN doc_id % 2 = 0 THEN 'PDF' ELSE 'png' END
-      AS original_filename,
+      AS original_filename, 'uploads/' || doc_id AS file_path, (n_lines % 3 + 1)::INTEGER AS page_count,
     CASE WHEN k = 5 THEN translate(txt, '0123456789', {q(ARABIC_INDIC)}) ELSE txt END AS ocr_text,
     CASE WHEN k = 8 THEN 'not json' WHEN k = 7 THEN '```json' || chr(10) || ans || chr(10) || '```' ELSE ans END
       AS raw_llm_response,
@@ -358,18 +361,22 @@ def canonical(j: str, doc_type: str | None = None) -> dict[str, str]:
     return out
 
 
+SKELETON = {
+    "document": '{"number":"","date":"","currency":""}',
+    "vendor": '{"name_ar":"","name_en":"","vat_number":"","address_ar":"","address_en":""}',
+    "customer": '{"name_ar":"","name_en":"","vat_number":"","address_ar":"","address_en":""}',
+    "financials": '{"subtotal":null,"tax_amount":null,"total_amount":null}',
+    "metadata": '{"purchase_order":"","reference_number":"","payment_terms":"","notes":""}',
+}
+
+
 def stored() -> str:
-    """Stored documents: the flat and nested payload of every processed invoice, as columns and JSON text."""
+    """Stored documents: flat fields and the sections of the raw answer, as columns and JSON text."""
     sec = lambda names: ", ".join(f"{k} := {v}" for k, v in names.items())
-    js = lambda p: f"json_extract_string(a, {q(p)})"
-    vendor = sec({k: js(f"$.vendor.{k}") for k in ("name_ar", "name_en", "vat_number", "address_ar", "address_en")})
-    customer = sec({k: js(f"$.customer.{k}") for k in ("name_ar", "name_en", "vat_number", "address_ar", "address_en")})
-    meta = sec({k: js(f"$.metadata.{k}") for k in ("purchase_order", "reference_number", "payment_terms", "notes")})
+    raw = {n: f"coalesce(json_extract(a, '$.{n}'), {q(blank)}::JSON)" for n, blank in SKELETON.items()}
+    raw["document"] = f"CASE WHEN v_currency <> '' THEN json_merge_patch({raw['document']}, json_object('currency', v_currency)) ELSE {raw['document']} END"
     flat = sec({f: f"v_{f}" for f in C.FIELDS[:13]})
-    fin = sec({f: f"v_{f}" for f in C.AMOUNT_FIELDS})
-    doc = "number := v_document_number, date := v_document_date, currency := v_currency"
+    kind = "coalesce(nullif(json_extract_string(a, '$.document_type'), ''), 'invoice')"
     return f"""{scored()},
 stored AS (SELECT doc_id AS id, session_id, original_filename AS filename, status, confidence, valid, created_at,
-  to_json(struct_pack({flat}, document_type := coalesce(nullif({js('$.document_type')}, ''), 'invoice'),
-    document := struct_pack({doc}), financials := struct_pack({fin}), vendor := struct_pack({vendor}),
-    customer := struct_pack({customer}), metadata := struct_pack({meta})))::VARCHAR AS js FROM fin)"""
+  to_json(struct_pack({flat}, document_type := {kind}, {sec(raw)}))::VARCHAR AS js FROM fin)"""

@@ -67,9 +67,9 @@ def build() -> dict[str, str]:
     sql["export_col_width"] = f"""{stored}, cols AS (SELECT {', '.join(f'{can_session[f]} AS {f}' for _, f in C.EXPORT_COLUMNS)}
       FROM stored) {widths}"""
     sql["persist_document"] = f"""{fin} SELECT doc_id AS id, session_id, original_filename AS filename, original_filename,
-      'invoice' AS document_type, status, confidence, ocr_text, raw_llm_response, 1::INTEGER AS page_count,
+      'invoice' AS document_type, status, confidence, ocr_text, raw_llm_response, page_count,
       'qwen_llm' AS extraction_engine, v_document_number AS document_number,
-      json_extract_string(a, '$.vendor.name_en') AS vendor_name_en, s_document_date AS date_state FROM fin"""
+      coalesce(json_extract_string(a, '$.vendor.name_en'), '') AS vendor_name_en, s_document_date AS date_state FROM fin"""
     sql["persist_extractions"] = f"""{fin} SELECT doc_id AS document_id, ocr_text AS raw_text, 'qwen_llm' AS engine,
       confidence FROM fin"""
     sql["persist_audit"] = f"""{fin} SELECT doc_id AS document_id, 'system' AS actor, 'processed' AS event_type, status,
@@ -101,7 +101,7 @@ def build() -> dict[str, str]:
         " || json_extract(processing_timings, '$.validation_time')::DOUBLE END"
     )
     sql["document_detail"] = f"""{fin} SELECT doc_id AS id, original_filename AS filename, status, confidence,
-      1::INTEGER AS page_count, v_total_amount AS total_amount, valid, {n_issues} + math_failed::BIGINT AS n_issues,
+      page_count, v_total_amount AS total_amount, valid, {n_issues} + math_failed::BIGINT AS n_issues,
       {timings} AS timings FROM fin"""
 
     # --- joins
@@ -147,7 +147,7 @@ def build() -> dict[str, str]:
     sql["search_total"] = f"WITH {docs} SELECT count(*) AS total FROM docs WHERE json_output ILIKE '%customer#00000001%'"
     good = " + ".join(f"(s_{f} IN ('{C.VALID}', '{C.ABSENT}'))::BIGINT" for f in C.FIELDS)
     sql["session_accuracy"] = f"""{fin}, {sess} SELECT s.id AS session_id, coalesce(acc, 100.0)::DOUBLE AS accuracy
-      FROM sess s LEFT JOIN (SELECT session_id, round(sum({good}) * 100.0::DOUBLE / (count(*) * 16), 1) AS acc
+      FROM sess s LEFT JOIN (SELECT session_id, format('{{:.1f}}', sum({good})::DOUBLE / (count(*) * 16) * 100)::DOUBLE AS acc
       FROM fin GROUP BY 1) x ON s.id = x.session_id"""
     sql["session_pending"] = f"""WITH {docs} SELECT session_id, count(*) FILTER (status = 'Needs Review') AS pending,
       count(*) FILTER (status = 'Needs Review') > 0 AS review_required FROM docs GROUP BY 1"""
@@ -211,7 +211,7 @@ def build() -> dict[str, str]:
     words = "len(string_split(text, ' '))"
     nonempty = words  # each chunk is a word and a blank, never empty
     req = "(conv_id * 100 + turn)"
-    sql["assemble_token_stream"] = f"""SELECT {req} AS req_id, 0::BIGINT AS segment, {i.strip("text || ' '")} AS text,
+    sql["assemble_token_stream"] = f"""SELECT {req} AS req_id, 0::BIGINT AS segment, {i.clean(i.strip("text || ' '"))} AS text,
       {nonempty}::BIGINT AS tokens, CASE WHEN {req} % 5 = 0 THEN 'length' ELSE 'stop' END AS done_reason FROM conversations"""
 
     # --- sort, limit
@@ -226,6 +226,7 @@ def build() -> dict[str, str]:
     # --- keyed maintenance
     sql["dedupe_uploads"] = f"""WITH {inv}, {i.UPLOADS} SELECT name, size, last_modified, min(pos) AS pos FROM ups
       GROUP BY 1, 2, 3"""
+    nested_total = i.number("(js->>'$.financials.total_amount')")
     review = lambda strict: f"""{stored}, e AS (
         SELECT s.*, s.id % 7 = 0 AS fixed, s.id % 11 = 0 AS rejected,
           '1,' || lpad((s.id % 1000)::VARCHAR, 3, '0') || '.50' AS e_total FROM stored s),
@@ -238,15 +239,14 @@ def build() -> dict[str, str]:
         {"CASE WHEN fixed THEN 'Corrected Vendor' ELSE js->>'$.vendor.name_en' END" if strict else "js->>'$.vendor.name_en'"}
           AS nested_vendor,
         CASE WHEN fixed THEN n_total ELSE (js->>'$.total_amount')::DOUBLE END AS flat_total,
-        {"CASE WHEN fixed THEN n_total ELSE (js->>'$.total_amount')::DOUBLE END" if strict else
-         "CASE WHEN coalesce((js->>'$.financials.total_amount')::DOUBLE, 0) <> 0 THEN (js->>'$.financials.total_amount')::DOUBLE WHEN fixed THEN n_total END"}
-          AS exported_total,
+        {f"CASE WHEN fixed THEN n_total ELSE {can['total_amount']} END" if strict else
+         f"CASE WHEN fixed THEN coalesce({nested_total}, n_total) ELSE {can['total_amount']} END"} AS exported_total,
         {"CASE WHEN fixed THEN 'Corrected Vendor' ELSE coalesce(js->>'$.vendor.name_en', '') END" if strict else
          "coalesce(nullif(js->>'$.vendor.name_en', ''), CASE WHEN fixed THEN 'Corrected Vendor' END, js->>'$.vendor_name_en', '')"}
           AS exported_vendor_name_en,
         CASE WHEN fixed THEN 'FIX-' || id ELSE js->>'$.document_number' END AS exported_document_number,
         CASE WHEN fixed THEN 'USD' ELSE js->>'$.currency' END AS exported_currency,
-        CASE WHEN rejected THEN false WHEN fixed THEN true ELSE valid END AS valid,
+        confidence AS kept_score, CASE WHEN rejected THEN false WHEN fixed THEN true ELSE valid END AS valid,
         CASE WHEN fixed OR rejected THEN 0 ELSE n_issues END AS n_issues,
         CASE WHEN rejected THEN '' WHEN fixed THEN 'currency=FOUND_AND_VALID;document_number=FOUND_AND_VALID;'
           || 'total_amount=FOUND_AND_VALID;vendor_name_en=FOUND_AND_VALID' END AS field_states
@@ -258,13 +258,13 @@ def build() -> dict[str, str]:
     sql["session_reexport"] = f"""{stored} SELECT session_id, id,
       CASE WHEN id % 7 = 0 THEN 'FIX-' || id ELSE js->>'$.document_number' END AS document_number,
       CASE WHEN id % 7 = 0 THEN 'USD' ELSE js->>'$.currency' END AS currency,
-      CASE WHEN js->>'$.financials.total_amount' IS NOT NULL THEN (js->>'$.financials.total_amount')::DOUBLE
-        WHEN id % 7 = 0 THEN 1000.5 + id % 1000 END AS total_amount
+      CASE WHEN id % 7 = 0 THEN coalesce({nested_total}, 1000.5 + id % 1000) ELSE {can['total_amount']} END AS total_amount
       FROM stored WHERE session_id IN (SELECT session_id FROM stored WHERE id % 7 = 0 OR id % 11 = 0)"""
     upd = "'{\"id\":' || id || '}'"
     sql["json_update"] = f"WITH {docs} SELECT id, CASE WHEN document_type = '2-HIGH' THEN {upd} ELSE json_output END AS json_output FROM docs"
     sql["json_update_audit"] = f"""WITH {docs} SELECT id AS document_id, 'system' AS actor, 'json_updated' AS event_type,
-      {upd} AS payload FROM docs WHERE document_type = '2-HIGH'"""
+      {upd} AS payload FROM docs WHERE document_type = '2-HIGH'
+      UNION ALL SELECT id, 'system', 'json_updated', '{{"z":"older"}}' FROM docs WHERE document_type = '2-HIGH' AND id % 2 = 0"""
     sql["upsert_latest"] = """WITH old AS (SELECT c_custkey AS user_id, c_name, c_mktsegment FROM customer WHERE c_acctbal > 0),
       new AS (SELECT user_id, max(event_id) AS e, arg_max(event_type, event_id) AS t, arg_max(ts, event_id) AS ts FROM events GROUP BY 1)
       SELECT coalesce(old.user_id, new.user_id) AS user_id,
@@ -353,7 +353,9 @@ def build() -> dict[str, str]:
         for n in C.AMOUNT_FIELDS
     )
     sql["flatten_json"] = f"""WITH {inv}, m AS MATERIALIZED (SELECT doc_id, {i.model_json('raw_llm_response')} AS a FROM inv WHERE k <> 8)
-      {text_leaves} UNION ALL {number_leaves}"""
+      {text_leaves} UNION ALL {number_leaves}
+      UNION ALL SELECT doc_id, 'vendor.phone', json_extract_string(a, '$.vendor.phone') FROM m
+      UNION ALL SELECT doc_id, 'metadata.extra.b.c.d.e.f.g', 'deep' FROM m WHERE doc_id % 10 = 3"""
     flat_paths = {"document_number": "document.number", "document_date": "document.date",
                   "vendor_name_en": "vendor.name_en", "notes": "metadata.notes", "document_type": "document_type"}
     sql["flatten_object"] = f"""{vals} SELECT doc_id,
@@ -469,8 +471,10 @@ def build() -> dict[str, str]:
     sql["process_documents"] = f"""{fin} SELECT doc_id AS document_id, original_filename AS filename, 'invoice' AS document_type,
       status, confidence, 'qwen_llm' AS extraction_engine, valid, {issue_text} AS issues, {pairs} AS field_states,
       v_document_number AS document_number, v_vendor_name_en AS vendor_name_en, v_currency AS currency,
-      v_total_amount AS total_amount, length(ocr_text)::BIGINT AS text_length, 1::INTEGER AS page_count,
-      {seconds}::DOUBLE AS processing_time FROM fin"""
+      v_total_amount AS total_amount, length(ocr_text)::BIGINT AS text_length, page_count,
+      {seconds}::DOUBLE AS processing_time, file_path,
+      CASE WHEN json_type(a, '$.financials.total_amount') = 'VARCHAR' THEN json_extract_string(a, '$.financials.total_amount') END
+        AS raw_total, json_extract_string(a, '$.vendor.phone') AS vendor_phone FROM fin"""
 
     # --- staged design
     def labelled(label: str) -> str:
@@ -526,8 +530,6 @@ def build() -> dict[str, str]:
     sql["stream_process"] = f"""{fin} SELECT doc_id AS id, original_filename AS filename, status, confidence,
       v_document_number AS document_number FROM fin"""
     sql["stream_dedupe"] = f"WITH {inv}, {i.UPLOADS} SELECT DISTINCT name, size, last_modified FROM ups"
-    sql["stream_trend"] = """SELECT ts::DATE AS label, count(*) AS value FROM events GROUP BY 1
-      HAVING ts::DATE + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY"""
-    sql["stream_tokens"] = f"""SELECT {req} AS req_id, 0::BIGINT AS segment, text || ' ' AS text, {words}::BIGINT AS n_chunks,
-      CASE WHEN {req} % 5 = 0 THEN 'length' ELSE 'stop' END AS done_reason FROM conversations"""
+    sql["stream_trend"] = "SELECT ts::DATE AS label, count(*) AS value FROM events GROUP BY 1"
+    sql["stream_tokens"] = sql["assemble_token_stream"]
     return sql

@@ -116,6 +116,26 @@ def test_canonical_of_demo_record(spark):
     assert (row["subtotal"], row["tax_amount"], row["total_amount"]) == (1000.0, 180.0, 1180.0)
 
 
+def test_truthiness_decides_between_places(spark):
+    text = lambda field: lambda c: canonical.canonical_text(jsonio.read_object(c), field)
+    amount = lambda c: canonical.canonical_amount(jsonio.read_object(c), "total_amount")
+    nothing = ["0", "0.0", "false", "{}", "[]", '""', "null"]
+    raw = [f'{{"document":{{"number":{v}}},"document_number":"A1"}}' for v in nothing]
+    assert run(spark, text("document_number"), raw) == ["A1"] * len(nothing)
+    assert run(spark, text("currency"), [f'{{"currency":{v}}}' for v in nothing]) == [""] * len(nothing)
+    assert run(spark, text("currency"), ['{"currency":true}', '{"currency":[1]}', '{"currency":"0"}']) == ["True", "[1]", "0"]
+    assert run(spark, amount, [f'{{"financials":{{"total_amount":{v}}},"total_amount":7}}' for v in nothing]) == [7.0] * len(nothing)
+    kinds = [f'{{"document_type":{v}}}' for v in nothing] + ['{"document_type":"receipt"}', "{}"]
+    assert run(spark, lambda c: canonical.flat_document_type(jsonio.read_object(c)), kinds) == ["invoice"] * len(nothing) + ["receipt", "invoice"]
+
+
+def test_one_decimal_rounds_the_binary_value(spark):
+    from docproof.operators.analytics import one_decimal
+
+    values = [k / n * 100 for n in (16, 48, 160, 1000, 2000, 3200, 7) for k in range(n + 1)]
+    assert run(spark, one_decimal, values, "double") == [float("%.1f" % v) for v in values]
+
+
 def test_canonical_zero_falls_through(spark):
     raw = ['{"financials":{"subtotal":0},"subtotal":5}', '{"financials":{"subtotal":0}}', '{"subtotal":0}',
            '{"financials":{"subtotal":"x"},"subtotal":5}']
