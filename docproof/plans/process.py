@@ -12,6 +12,7 @@ from docproof import constants as C
 from docproof.functions.canonical import flat_document_type, is_truthy
 from docproof.functions.jsonio import timings_map
 from docproof.operators import validation as val
+from docproof.operators.scoring import field_score
 
 def validation_struct() -> Column:
     """Everything known about the check of a document, kept whole with the stored record."""
@@ -161,10 +162,12 @@ def persist_projections(processed: DataFrame) -> dict[str, DataFrame]:
 
 
 def review_queue(checked: DataFrame, threshold: float = C.REVIEW_THRESHOLD) -> DataFrame:
-    """Per document and field: its confidence and whether it asks for review."""
-    long = val.unpivot_states(checked)
-    confidence = F.coalesce(F.col("score"), F.lit(100)) / F.lit(100.0)
-    return long.filter(F.col("field").isin(*C.CANONICAL_FIELDS)).select(
+    """Per document and shown field: its confidence and whether it asks for review; fields never checked count as sure."""
+    sure = F.lit(100)
+    score = lambda f: F.coalesce(field_score(f, F.col(f"s_{f}")), sure) if f in C.FIELDS else sure
+    entries = F.array(*(F.struct(F.lit(f).alias("field"), score(f).alias("score")) for f in C.CANONICAL_FIELDS))
+    confidence = F.col("score") / F.lit(100.0)
+    return checked.select("doc_id", F.inline(entries)).select(
         "doc_id", "field", confidence.alias("confidence"), (confidence < threshold).alias("needs_review")
     )
 

@@ -465,7 +465,8 @@ def build() -> dict[str, str]:
         for f in C.FIELDS
         if f in C.CANONICAL_FIELDS
     )
-    sql["review_badge"] = f"""{st}, m AS MATERIALIZED (SELECT doc_id, {', '.join(f's_{f}' for f in C.FIELDS)} FROM st) {badge}"""
+    sql["review_badge"] = f"""{st}, m AS MATERIALIZED (SELECT doc_id, {', '.join(f's_{f}' for f in C.FIELDS)} FROM st) {badge}
+      UNION ALL SELECT doc_id, unnest(['reference_number', 'document_type']), 1.0::DOUBLE, false FROM m"""
     sql["currency_in_place"] = f"{vals} SELECT doc_id AS document_id, v_currency AS flat, v_currency AS nested FROM vals"
     seconds = "CASE WHEN k = 8 THEN 0.0 ELSE round((doc_id % 977 + doc_id % 499 + 110) / 100.0::DOUBLE + (doc_id % 7) / 100.0::DOUBLE, 4) END"
     sql["process_documents"] = f"""{fin} SELECT doc_id AS document_id, original_filename AS filename, 'invoice' AS document_type,

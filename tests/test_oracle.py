@@ -31,3 +31,15 @@ def test_every_expected_result_has_a_query():
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("name, order", [
+    ("sort_by_any", "confidence, id"), ("daily_trend", "label"), ("confidence_distribution", "confidence"),
+    ("scan_documents", "created_at DESC, id DESC"), ("page_documents", "confidence DESC, id DESC"),
+])
+def test_ordered_queries_come_in_order(spark, small, con, name, order):
+    """The comparison above sorts both sides; here the order itself is compared."""
+    df = QUERIES[name](spark, small)
+    names = ", ".join(df.columns)
+    want = con.execute(f"SELECT {names} FROM ({EXPECTED[name]}) ORDER BY {order}").fetchall()
+    assert [tuple(r) for r in df.collect()] == want
