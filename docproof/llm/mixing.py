@@ -129,59 +129,71 @@ def _matrix(column: pa.Array, domains: int) -> np.ndarray:
     return column.flatten().to_numpy().reshape(-1, domains)
 
 
-def _sums(members: DataFrame, domains: int, steps: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Expected tokens of each domain after ``steps``, and the tokens shared by each pair of domains."""
+def _collected(members: DataFrame, size: int, domains: int, sums) -> np.ndarray:
+    """Sum over all documents of the ``size`` numbers that ``sums(posteriors, tokens)`` gives for a batch."""
 
     def run(batches):
-        totals, shared = np.zeros(domains), np.zeros((domains, domains))
+        total = np.zeros(size)
         for batch in batches:
-            p = _matrix(batch.column("posteriors"), domains)
-            n = batch.column("n_tokens").to_numpy().astype(float)
-            totals += (rates_after(steps, p, least) * n) @ p
-            shared += (p * n[:, None]).T @ p
-        yield pa.RecordBatch.from_arrays([pa.array([[*totals, *shared.ravel()]], pa.list_(pa.float64()))], names=["s"])
+            total += sums(_matrix(batch.column("posteriors"), domains), batch.column("n_tokens").to_numpy().astype(float))
+        yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], names=["s"])
 
     parts = members.select("n_tokens", "posteriors").mapInArrow(run, "s array<double>")
-    each = [F.sum(F.col("s")[i]) for i in range(domains + domains * domains)]
-    found = np.array([v or 0.0 for v in parts.agg(*each).first()])
-    return found[:domains], found[domains:].reshape(domains, domains)
+    return np.array([v or 0.0 for v in parts.agg(*[F.sum(F.col("s")[i]) for i in range(size)]).first()])
+
+
+def _totals(members: DataFrame, domains: int, steps: np.ndarray, least: float) -> np.ndarray:
+    """Expected tokens of each domain after ``steps``."""
+    return _collected(members, domains, domains, lambda p, n: (rates_after(steps, p, least) * n) @ p)
+
+
+def _curvature(members: DataFrame, domains: int, steps: np.ndarray, least: float, error: np.ndarray) -> np.ndarray:
+    """Tokens shared by each pair of domains in the documents whose rate can follow the gradient."""
+
+    def sums(p: np.ndarray, n: np.ndarray) -> np.ndarray:
+        free = (rates_after(steps, p, least) > least) | (p @ error < 0)
+        return ((p * (n * free)[:, None]).T @ p).ravel()
+
+    return _collected(members, domains * domains, domains, sums).reshape(domains, domains)
 
 
 def fit_rates(members: DataFrame, domains: list[str], targets: Mapping[str, float], least: float = 1.0,
               headroom: float = HEADROOM, rounds: int = ROUNDS) -> np.ndarray:
-    """The steps that take the expected tokens of the domains to their targets; one distributed sum a round."""
+    """The steps that take the expected tokens of the domains to their targets; distributed sums of a few numbers each.
+
+    The gradient is scaled by the curvature among the documents that are free to follow it, and a step is halved until
+    the error falls. Where the targets cannot be met the last step that helped ends it.
+    """
     k = len(domains)
     steps = np.zeros((0, max(1, k)))
     weights = np.array([max(0.0, float(targets.get(d, 0.0))) for d in domains])
     if not weights.sum():
         return steps
-    current, shared = _sums(members, k, steps, least)
+    current = _totals(members, k, steps, least)
     listed = weights > 0
     weights = weights / weights.sum()
     total = headroom * (current[listed] / weights[listed]).max()
     if not total:
         return steps
     goal = np.where(listed, weights * total, current)
-    shared = shared / total
-    curves = np.linalg.eigvalsh(shared)
-    longest, size = 1.0 / max(curves.min(), 1e-4), 1.0 / curves.max()
     error = (current - goal) / total
-    best, kept = float(error @ error), steps
     for _ in range(rounds):
         if np.abs(error).max() < TOLERANCE:
             break
-        step = size * error
-        steps = np.vstack([steps, step])
-        current, _ = _sums(members, k, steps, least)
-        after = (current - goal) / total
-        # The next step length follows the curvature just met (Barzilai and Borwein).
-        bent = -float(step @ shared @ (after - error))
-        size = min(longest, max(1.0 / curves.max(), float(step @ shared @ step) / bent)) if bent > 0 else 1.0 / curves.max()
-        error = after
-        loss = float(error @ error)
-        if loss < best:
-            best, kept = loss, steps
-    return kept
+        curvature = _curvature(members, k, steps, least, error) / total
+        largest = np.linalg.eigvalsh(curvature).max()
+        if largest <= 0:
+            break
+        scaled = np.linalg.pinv(curvature, rcond=1e-9, hermitian=True) @ error
+        for step in (scaled, scaled / 2, scaled / 4, scaled / 8, error / largest):
+            longer = np.vstack([steps, step])
+            after = (_totals(members, k, longer, least) - goal) / total
+            if after @ after < (error @ error) * (1 - 1e-6):
+                break
+        else:
+            break
+        steps, error = longer, after
+    return steps
 
 
 def _fraction(key) -> F.Column:
