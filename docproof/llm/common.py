@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 SLICE_BYTES = 4 << 20
+BROADCAST_ROWS = 100_000  # of a few numbers each
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -135,7 +136,9 @@ def labelled_sample(rows: DataFrame, text_id: str, text: str, label: str, per_la
     drawn = F.xxhash64(F.col(text_id).cast("string"), F.lit("sample"))
     rows = rows.select(F.col(label).cast("string").alias("label"), F.col(text).alias("text"), drawn.alias("drawn"))
     slot = F.pmod("drawn", F.lit(per_label)).alias("slot")
-    chosen = rows.groupBy("label", slot).agg(F.min("drawn").alias("drawn"))
+    chosen = staged(rows.groupBy("label", slot).agg(F.min("drawn").alias("drawn")))
+    # With a known, small number of draws the texts need not move; more labels than that go by a shuffle.
+    chosen = F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen
     sample = rows.select("label", F.substring("text", 1, chars).alias("text"), "drawn", slot)
     sample = sample.join(chosen, ["label", "slot", "drawn"], "left_semi")
     sample = sample.groupBy("label", "drawn").agg(F.min("text").alias("text")).orderBy("label", "drawn")

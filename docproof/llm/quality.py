@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from docproof.llm.common import keep_where, map_text
+from docproof.llm.common import BROADCAST_ROWS, keep_where, map_text
 
 SAMPLE_ROWS = 20_000
 BINS = 64
@@ -189,7 +189,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     drawn = known.orderBy(F.xxhash64("id", F.lit("quality")), "id").limit(sample_rows)
     texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     # An id that comes more than once teaches its smallest text only, so that the sample stays bounded.
-    rows = texts.join(drawn, "id").groupBy("id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
+    bounded = F.broadcast(drawn) if sample_rows <= BROADCAST_ROWS else drawn
+    rows = texts.join(bounded, "id").groupBy("id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
     sample = _statistics_of(rows.select("label", "text"), "text").toArrow()
     x = np.array(sample.column("x").combine_chunks().flatten()) if sample.num_rows else np.zeros(0)
     x = x.reshape(sample.num_rows, -1) if sample.num_rows else np.zeros((0, 1))
