@@ -31,7 +31,7 @@ DOCS_PER_LANGUAGE = 256
 CHARS_PER_LANGUAGE = 60_000
 MAX_SYMBOLS = 126
 LEAST_SCORE = 0.4
-SLICE = 8 << 20  # bytes of text that move through the automata together
+SLICE = 5 << 20  # bytes of text that move through the automata together
 GAP, UNKNOWN = 0, 1
 UNDETERMINED = "und"
 
@@ -132,7 +132,7 @@ class LanguageModel:
         ends = np.cumsum(sizes)
         joined = np.concatenate(points) if n else np.zeros(0, np.uint32)
         codes = self.codes[joined]
-        owner = np.repeat(np.arange(n), sizes)
+        owner = np.repeat(np.arange(n, dtype=np.int32), sizes)
         letters = np.bincount(owner[codes != GAP], minlength=n)
         stays = self._squeeze(codes)[1]
         stays[(ends - sizes)[sizes > 0]] = True
