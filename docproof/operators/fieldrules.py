@@ -89,11 +89,14 @@ def merge_field_results(results: DataFrame, key: str = "doc_id") -> DataFrame:
     )
 
 
-def engine_compare(results: DataFrame, truth: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Share of right answers per engine and field against ``truth(key, field, expected)``."""
+def engine_compare(results: DataFrame, truth: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
+    """Share of right answers per engine and field against ``truth(key, field, expected)``.
+
+    Results that carry ``expected`` themselves need no truth, and no join.
+    """
     match = F.coalesce(fold_text(F.col("value")) == fold_text(F.col("expected")), F.lit(False)).cast("long")
     return (
-        results.join(truth, [key, "field"])
+        (results if truth is None else results.join(truth, [key, "field"]))
         .groupBy("engine", "field")
         .agg(F.count(F.lit(1)).alias("n"), F.sum(match).alias("n_right"))
         .withColumn("accuracy", F.round(F.col("n_right") / F.col("n"), 4))
