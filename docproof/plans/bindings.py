@@ -233,19 +233,18 @@ def review_edits(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def doc_pages(spark: SparkSession, folder: str) -> DataFrame:
-    """Pages of recognised text: one per conversation turn."""
+    """Pages of recognised text: one per conversation turn, whose text stands in all three regions."""
     text, size = F.col("text"), F.length("text")
     reason = lambda n: F.when(n % 5 == 0, "length").otherwise("stop")
-    head, foot = F.left(text, F.lit(80)), F.right(text, F.lit(80))
     return read_table(spark, folder, "conversations").select(
         F.col("conv_id").alias("doc_id"),
         F.col("turn").cast("long").alias("page_no"),
-        head.alias("header_text"),
+        text.alias("header_text"),
         text.alias("body_text"),
-        foot.alias("footer_text"),
-        F.length(head).cast("long").alias("h_tokens"),
+        text.alias("footer_text"),
+        size.cast("long").alias("h_tokens"),
         size.cast("long").alias("b_tokens"),
-        F.length(foot).cast("long").alias("f_tokens"),
+        size.cast("long").alias("f_tokens"),
         reason(size).alias("h_reason"),
         reason(size + 1).alias("b_reason"),
         reason(size + 2).alias("f_reason"),

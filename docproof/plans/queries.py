@@ -186,9 +186,10 @@ def json_sink(spark, d):
 @query
 def session_export_files(spark, d):
     path = scratch_dir(spark) + "/sessions"
-    rows = exports.export_session_rows(_stored(spark, d), "id").withColumn("session_id", F.col("session_id") % 16)
-    exports.write_session_exports(rows, path)
-    return _read_back_columns(spark.read.parquet(path)).select("id", "document_number", "total_amount", "document_type")
+    exports.write_session_exports(exports.export_session_rows(_stored(spark, d), "id"), path)
+    titles = {f: t for t, f in C.EXPORT_COLUMNS}
+    shown = [F.col(f"`{titles[f]}`").alias(f) for f in ("document_number", "total_amount", "document_type")]
+    return spark.read.parquet(path).select("session_id", "id", *shown)
 
 
 @query

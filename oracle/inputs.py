@@ -215,9 +215,9 @@ edits AS (
 
 PAGES = """
 pgs AS (
-  SELECT conv_id AS doc_id, turn::BIGINT AS page_no, left(text, 80) AS header_text, text AS body_text,
-    right(text, 80) AS footer_text, length(left(text, 80)) AS h_tokens, length(text) AS b_tokens,
-    length(right(text, 80)) AS f_tokens,
+  SELECT conv_id AS doc_id, turn::BIGINT AS page_no, text AS header_text, text AS body_text,
+    text AS footer_text, length(text) AS h_tokens, length(text) AS b_tokens,
+    length(text) AS f_tokens,
     CASE WHEN length(text) % 5 = 0 THEN 'length' ELSE 'stop' END AS h_reason,
     CASE WHEN (length(text) + 2) % 5 = 0 THEN 'length' ELSE 'stop' END AS f_reason,
     length(text) % 40 AS total_lines

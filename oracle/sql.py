@@ -57,7 +57,7 @@ def build() -> dict[str, str]:
     plain = f"{stored} SELECT id, {', '.join(f'{can[f]} AS {f}' for _, f in C.EXPORT_COLUMNS)} FROM stored"
     sql["csv_sink"] = plain
     sql["json_sink"] = plain
-    sql["session_export_files"] = f"""{stored} SELECT id, {can['document_number']} AS document_number,
+    sql["session_export_files"] = f"""{stored} SELECT session_id, id, {can['document_number']} AS document_number,
       {can['total_amount']} AS total_amount, 'invoice' AS document_type FROM stored"""
     widths = " UNION ALL ".join(
         f"""SELECT '{t}' AS column_name, greatest(greatest(coalesce(max(length({

@@ -289,9 +289,12 @@ def test_long_document_spreads_over_tasks(spark):
     assert out.select(F.sum(F.size(F.split("text", "\n")))).first()[0] == 1001 * 5 + 1000 + 3000
 
 
-def test_session_exports_are_one_folder_per_session(spark, small, tmp_path):
+def test_session_exports(spark, small, tmp_path):
     rows = spark.range(300).select((F.col("id") % 3).alias("session_id"), F.col("id").alias("n"))
-    exports.write_session_exports(rows, str(tmp_path / "out"))
+    exports.write_session_exports(rows, str(tmp_path / "whole"))
+    back = spark.read.parquet(str(tmp_path / "whole")).withColumn("file", F.input_file_name())
+    assert back.count() == 300 and back.groupBy("session_id").agg(F.countDistinct("file").alias("n")).filter("n > 1").count() == 0
+    exports.write_session_exports(rows, str(tmp_path / "out"), folders=True)
     assert sorted(p.name for p in (tmp_path / "out").glob("session_id=*")) == [f"session_id={i}" for i in range(3)]
     assert spark.read.parquet(str(tmp_path / "out")).count() == 300
     named = spark.createDataFrame([(1, 1), (2, 5)], "session_id long, n long").select(
