@@ -19,6 +19,7 @@ from docproof.functions import currency as cur
 from docproof.functions import dates as dt
 from docproof.functions import jsonio as js
 from docproof.functions import numbers as num
+from docproof.functions import sqlfuncs
 from docproof.functions import text as tx
 from docproof.functions.html import strip_html
 from docproof.functions.html import strip_tags_simple as tags_to_lines
@@ -1147,6 +1148,28 @@ def engine_compare(spark, d):
     return rules.engine_compare(results.select("field", expected, F.inline(engines)))
 
 
+@query
+def with_model_response(spark, d):
+    """The hook with an answer that tells how long its text is."""
+
+    def answer(batches):
+        for batch in batches:
+            yield batch.assign(raw_llm_response='{"n":' + batch["ocr_text"].str.len().astype(str) + "}")[["doc_id", "raw_llm_response"]]
+
+    return process.with_model_response(b.invoices(spark, d), answer)
+
+
+@query
+def sql_functions(spark, d):
+    """Amounts and whole texts through the SQL functions."""
+    sqlfuncs.register(spark)
+    amounts = normalize_number_str(spark, d).selectExpr(
+        "l_orderkey AS id", "l_linenumber AS part", "dp_normalize_number_str(raw) AS text", "dp_normalize_number(raw) AS number")
+    texts = read_table(spark, d, "documents").selectExpr(
+        "doc_id AS id", "0 AS part", "dp_fold_text(text) AS text", "CAST(NULL AS DOUBLE) AS number")
+    return amounts.unionByName(texts)
+
+
 # --- streams ----------------------------------------------------------------------------------------------
 
 

@@ -531,6 +531,9 @@ def build() -> dict[str, str]:
     sql["stream_process"] = f"""{fin} SELECT doc_id AS id, original_filename AS filename, status, confidence,
       v_document_number AS document_number FROM fin"""
     sql["stream_dedupe"] = f"WITH {inv}, {i.UPLOADS} SELECT DISTINCT name, size, last_modified FROM ups"
+    sql["with_model_response"] = f"""WITH {inv} SELECT doc_id, '{{"n":' || length(ocr_text) || '}}' AS raw_llm_response FROM inv"""
+    sql["sql_functions"] = f"""WITH {amt} SELECT l_orderkey AS id, l_linenumber AS part, {i.number_str('raw')} AS text,
+      {i.number('raw')} AS number FROM am UNION ALL SELECT doc_id, 0, {i.fold('text')}, NULL FROM documents"""
     sql["stream_trend"] = "SELECT ts::DATE AS label, count(*) AS value FROM events GROUP BY 1"
     sql["stream_tokens"] = sql["assemble_token_stream"]
     return sql
