@@ -304,7 +304,6 @@ def document_detail(spark, d):
     return _parsed(_stored(spark, d)).select(
         "id", "filename", "status", "confidence", "page_count",
         F.try_variant_get(stored, "$.total_amount", "double").alias("total_amount"),
-        F.try_variant_get(validation, "$.score", "double").alias("kept_score"),
         F.try_variant_get(validation, "$.valid", "boolean").alias("valid"),
         F.size(F.try_variant_get(validation, "$.issues", "array<variant>")).cast("long").alias("n_issues"),
         _map_text(js.timings_map(F.col("processing_timings"))).alias("timings"),

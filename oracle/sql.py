@@ -116,9 +116,10 @@ def build() -> dict[str, str]:
       d.id AS document_id, filename, status FROM sess s LEFT JOIN docs d ON d.session_id = s.id"""
     pairs = " || ';' || ".join(f"'{f}=' || s_{f}" for f in sorted(C.FIELDS))
     low = " + ".join(f"(s_{f} IN ('{C.MISSING}', '{C.INCORRECT}'))::BIGINT" for f in C.FIELDS)
+    exported = i.number("json_extract_string(a, '$.financials.total_amount')")
     sql["session_view"] = f"""{fin}, {sess} SELECT session_id, name AS session_name, doc_id AS document_id, status,
       v_document_number AS document_number, v_vendor_name_en AS vendor_name_en, v_document_date AS document_date,
-      v_currency AS currency, v_total_amount AS total_amount, {pairs} AS field_states, {low} AS n_low
+      v_currency AS currency, coalesce({exported}, v_total_amount) AS total_amount, {pairs} AS field_states, {low} AS n_low
       FROM fin JOIN sess s ON s.id = session_id"""
     sql["recent_sessions"] = f"""WITH {docs}, {sess} SELECT s.id, name,
       (SELECT count(*) FROM docs WHERE session_id = s.id) AS n_documents, strftime(created_at, '%d %b %Y') AS created_on
