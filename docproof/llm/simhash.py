@@ -216,11 +216,14 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius
 
     Rows without an id cannot be named and stay.
     """
-    groups = staged(near_duplicates(docs, doc_id, text, radius).select("doc_id", "component_id"))
-    per_id = groups.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(
-        F.min("component_id").alias("component_id"), F.count("*").alias("n"))
-    kept = per_id.filter("doc_id = component_id").select(F.col("doc_id").alias("__kept"), (F.col("n") > 1).alias("__twice"))
+    groups = near_duplicates(docs, doc_id, text, radius).filter("doc_id IS NOT NULL")
+    per_id = groups.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n"))
+    kept = staged(per_id.filter("doc_id = component_id").select(F.col("doc_id").alias("__kept"), (F.col("n") > 1).alias("__twice")))
+    own = [docs[c] for c in docs.columns]
+    nameless = docs.filter(docs[doc_id].isNull())
+    if kept.filter("__twice").isEmpty():
+        return docs.join(kept, docs[doc_id] == kept["__kept"], "left_semi").unionByName(nameless)
     chosen = docs.join(kept, docs[doc_id] == kept["__kept"])
-    once = chosen.filter("NOT __twice").select(*(docs[c] for c in docs.columns))
-    again = chosen.filter("__twice").select(*(docs[c] for c in docs.columns)).dropDuplicates([doc_id])
-    return once.unionByName(again).unionByName(docs.filter(docs[doc_id].isNull()))
+    once = chosen.filter("NOT __twice").select(*own)
+    again = chosen.filter("__twice").select(*own).dropDuplicates([doc_id])
+    return once.unionByName(again).unionByName(nameless)
