@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 BROADCAST_ROWS = 100_000  # of a few numbers each
 
 
@@ -27,7 +27,7 @@ def shared_folder(spark: SparkSession) -> str:
     """A new folder under ``spark.checkpoint.dir``; a local one only where that is unset and the master is local."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         return f"file://{tempfile.mkdtemp(prefix='docproof-llm-')}"
     return f"{shared.rstrip('/')}/llm-{uuid.uuid4().hex}"
@@ -62,6 +62,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
         for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
             if b > a:
                 yield batch.slice(a, b - a)
+        del batch
+        pa.default_memory_pool().release_unused()
 
 
 def map_text(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType, column: str = "text",

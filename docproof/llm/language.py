@@ -28,10 +28,10 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from docproof.llm.common import keep_where, labelled_sample, map_text
 
 DOCS_PER_LANGUAGE = 256
-CHARS_PER_LANGUAGE = 60_000
+CHARS_PER_LANGUAGE = 40_000
 MAX_SYMBOLS = 126
 LEAST_SCORE = 0.4
-SLICE = 5 << 20  # bytes of text that move through the automata together
+SLICE = 3 << 20  # bytes of text that move through the automata together
 GAP, UNKNOWN = 0, 1
 UNDETERMINED = "und"
 

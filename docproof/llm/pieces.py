@@ -17,7 +17,7 @@ import hashlib
 import heapq
 import re
 import struct
-import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docproof.llm.chunks import ChunkCache
-from docproof.llm.common import map_text, worker_cached
+from docproof.llm.common import map_text
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = range(1, 7)
@@ -33,6 +33,8 @@ BPE = 2
 SHORT = 48  # symbols; longer runs are merged one by one with a heap
 TOGETHER = 8192  # short runs merged at once
 NEVER = np.iinfo(np.int32).max
+CACHED = 100_000  # runs kept by a worker, in each of two generations
+SLICE = 1 << 20  # bytes of text encoded together
 
 
 def _fields(data: bytes):
@@ -131,7 +133,7 @@ class PieceModel:
         self.space = SPACE if self.escapes else " "
         self.cutter = self._cutter()
         self.plain = not self.map.rules and not self.trims
-        self.cache = ChunkCache(self._encode_chunks)
+        self.cache = ChunkCache(self._encode_chunks, CACHED)
         self._pair_table()
         self.is_byte = np.array(self.kinds) == BYTE
         self.tails = np.array([k == BYTE and 0x80 <= p[0] < 0xC0 for p, k in zip(self.pieces, self.kinds)])
@@ -438,8 +440,10 @@ def _lenient(data: bytes) -> str:
     return "".join(out)
 
 
+@lru_cache(maxsize=1)
 def load(model: bytes) -> PieceModel:
-    return worker_cached(("piece model", zlib.crc32(model)), lambda: PieceModel(model))
+    """The model and its cache, for as long as a task runs: a worker keeps nothing of them for other work."""
+    return PieceModel(model)
 
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string"
@@ -466,7 +470,7 @@ def encode_documents(docs: DataFrame, model: bytes, doc_id: str = "doc_id", text
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     schema = "doc_id long, n_tokens long, ids array<int>, starts array<long>, stops array<long>, decoded string"
-    return map_text(rows, run, schema, limit=1 << 20)
+    return map_text(rows, run, schema, limit=SLICE)
 
 
 def digest_documents(docs: DataFrame, model: bytes, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -487,7 +491,7 @@ def digest_documents(docs: DataFrame, model: bytes, doc_id: str = "doc_id", text
 
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return map_text(rows, run, SCHEMA)
+    return map_text(rows, run, SCHEMA, limit=SLICE)
 
 
 def _encoded(batch: pa.RecordBatch, data: bytes):

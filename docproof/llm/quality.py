@@ -11,15 +11,13 @@ their smoothed share; repeated rows and long texts are rows like any other; an e
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from docproof.llm.common import BROADCAST_ROWS, keep_where, map_text
+from docproof.llm.common import BROADCAST_ROWS, keep_where, map_text, worker_cached
 
 SAMPLE_ROWS = 20_000
 BINS = 64
@@ -35,10 +33,9 @@ LOWER, CAPITAL, DIGIT, BLANK, NEWLINE, OTHER = range(6)
 CLASSES = 6 + len(SIGNS)
 
 
-@lru_cache(maxsize=1)
-def _classes() -> np.ndarray:
+def _make_classes() -> np.ndarray:
     """Class of every character."""
-    kinds = np.full(0x110000, OTHER, np.int64)
+    kinds = np.full(0x110000, OTHER, np.int8)
     for c in range(0x3000):
         s = chr(c)
         kinds[c] = CAPITAL if s.isupper() else LOWER if s.isalpha() else DIGIT if s.isdigit() else BLANK if s.isspace() else OTHER
@@ -50,7 +47,10 @@ def _classes() -> np.ndarray:
     return kinds
 
 
-@lru_cache(maxsize=1)
+def _classes() -> np.ndarray:
+    return worker_cached(("character classes",), _make_classes)
+
+
 def _weights() -> np.ndarray:
     return np.random.default_rng(11).integers(1, 1 << 62, 64, dtype=np.uint64) | np.uint64(1)
 

@@ -44,6 +44,7 @@ CHUNK = re.compile(
     f" ?{LETTERS}+(?={SIGNS}|{SPACE}|\\Z)| ?{SIGNS}+(?={LETTERS}|{SPACE}|\\Z)| ?{OTHER}+|{SPACE}+(?!{OTHER})|{SPACE}+"
 )
 TOGETHER = 500
+SLICE = 4 << 20  # bytes of text encoded together
 
 
 def open_storage(uri: str) -> tuple[fs.FileSystem, str]:
@@ -191,7 +192,7 @@ def write_tokens(docs: DataFrame, model: str, end_id: int, folder: str, sequence
     def write(batches):
         from pyspark import TaskContext
 
-        rows = slices((b for b in batches if b.num_rows), "text")
+        rows = slices((b for b in batches if b.num_rows), "text", SLICE)
         first = next(rows, None)
         if first is None:
             return
