@@ -222,7 +222,8 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius
     own = [docs[c] for c in docs.columns]
     nameless = docs.filter(docs[doc_id].isNull())
     if kept.filter("__twice").isEmpty():
-        return docs.join(kept, docs[doc_id] == kept["__kept"], "left_semi").unionByName(nameless)
+        # Ids grow with the documents: the same join at every size, never a broadcast.
+        return docs.join(kept.hint("merge"), docs[doc_id] == kept["__kept"], "left_semi").unionByName(nameless)
     chosen = docs.join(kept, docs[doc_id] == kept["__kept"])
     once = chosen.filter("NOT __twice").select(*own)
     again = chosen.filter("__twice").select(*own).dropDuplicates([doc_id])
