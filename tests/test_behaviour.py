@@ -190,6 +190,27 @@ def test_token_stream(spark):
             assert {(p["tokens"], p["done_reason"]) for p in mine} == {(tokens, reason)}
 
 
+def test_token_stream_is_cleaned_over_span_cuts(spark):
+    """Tags, references, comments, blanks and repeated lines that run over cuts, and spans without text."""
+    texts = ["<html><body><p>One  line</p><p>same</p><p>same</p><table><tr><td>A &amp; B</td></tr></table></body></html>",
+             "<p>x</p><script>if (a < b) { c(); }</script><!-- a > b -->tail", "a   b\nsame\n same \nsame\n\n\n end  ",
+             "plain < text &amp; more", "<p></p>", "  \n " * 4, "<p>\u00fc\U0001f600 \u0633</p> " * 6]
+    rows = [chunk(r, i, t[2 * i : 2 * i + 2]) for r, t in enumerate(texts) for i in range((len(t) + 1) // 2)]
+    df = spark.createDataFrame(rows, "req_id long, seq long, line string")
+    joined = lambda span: whole_answers(assembly.assemble_token_stream(df, span))
+    want = joined(10**6)
+    assert "<" not in want[0] and want[0].count("same") == 1 and want[2] == "a b\nsame\n\nend"
+    for span in (1, 3, 16):
+        assert joined(span) == want
+
+
+def whole_answers(df):
+    parts = {}
+    for r in df.orderBy("req_id", "segment").collect():
+        parts.setdefault(r["req_id"], []).append(r["text"])
+    return {k: "".join(v) for k, v in parts.items()}
+
+
 def stored_document(spark, doc_id, extracted):
     return spark.createDataFrame(
         [(doc_id, 5, "a.pdf", json.dumps(extracted), "{}", '{"valid":true}', "Approved", 0.9, "invoice")],
