@@ -211,20 +211,33 @@ def fingerprint_text(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` that stand for their group: those with its smallest id, once even if the row is repeated.
+def row_hash(doc_id: Column, text: Column) -> Column:
+    """Tells the rows of an id apart by their texts."""
+    return F.xxhash64(doc_id, text)
 
-    Rows without an id cannot be named and stay.
-    """
-    groups = near_duplicates(docs, doc_id, text, radius).filter("doc_id IS NOT NULL")
-    per_id = groups.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n"))
-    kept = staged(per_id.filter("doc_id = component_id").select(F.col("doc_id").alias("__kept"), (F.col("n") > 1).alias("__twice")))
+
+def chosen_rows(docs: DataFrame, chosen: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The rows of ``docs`` whose id and ``row_hash`` are in ``chosen`` (id, row, n), once each, and those without an id."""
+    kept = staged(chosen.select(F.col("id").alias("__kept"), F.col("row").alias("__row"), (F.col("n") > 1).alias("__twice")))
     own = [docs[c] for c in docs.columns]
     nameless = docs.filter(docs[doc_id].isNull())
+    same = (docs[doc_id] == kept["__kept"]) & (row_hash(docs[doc_id], docs[text]) == kept["__row"])
+    # Ids grow with the documents: the same join at every size, never a broadcast.
     if kept.filter("__twice").isEmpty():
-        # Ids grow with the documents: the same join at every size, never a broadcast.
-        return docs.join(kept.hint("merge"), docs[doc_id] == kept["__kept"], "left_semi").unionByName(nameless)
-    chosen = docs.join(kept, docs[doc_id] == kept["__kept"])
-    once = chosen.filter("NOT __twice").select(*own)
-    again = chosen.filter("__twice").select(*own).dropDuplicates([doc_id])
+        return docs.join(kept.hint("merge"), same, "left_semi").unionByName(nameless)
+    found = docs.join(kept.hint("merge"), same)
+    once = found.filter("NOT __twice").select(*own)
+    again = found.filter("__twice").dropDuplicates([doc_id, "__row"]).select(*docs.columns)
     return once.unionByName(again).unionByName(nameless)
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
+    """The rows of ``docs`` that stand for their group: those with its smallest id, one even if that id is repeated.
+
+    An id that comes with unlike texts may stand for several groups. Rows without an id cannot be named and stay.
+    """
+    named = F.struct(F.col(doc_id).alias("id"), row_hash(F.col(doc_id), F.col(text)).alias("row"))
+    rows = docs.select(F.when(F.col(doc_id).isNotNull(), named).alias("name"), F.col(text).alias("text"))
+    least = near_duplicates(rows, "name", "text", radius).filter("doc_id = component_id")
+    chosen = least.groupBy("doc_id").agg(F.count("*").alias("n")).select("doc_id.id", "doc_id.row", "n")
+    return chosen_rows(docs, chosen, doc_id, text)

@@ -99,3 +99,11 @@ def test_given_documents(spark):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     assert sorted(r["doc_id"] for r in jaccard.keep_one(docs).collect()) == survivors(rows)
+
+
+def test_an_id_with_unlike_texts_stands_for_each_group(spark):
+    old, new = "the first text of a page fetched early", "quite another page was found there some days later"
+    rows = [(3, old), (3, new), (3, new), (1, old), (7, new), (4, "x y z"), (4, "u v w")]
+    found = [jaccard.keep_one(documents(spark, part)).collect() for part in (rows, rows[::-1])]
+    for kept in found:
+        assert sorted((r["doc_id"], r["text"]) for r in kept) == [(1, old), (3, new), (4, "u v w"), (4, "x y z")]

@@ -117,3 +117,11 @@ def test_query_equals_brute_force(spark):
     folder = "/root/testdata/sf0.001"
     texts = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
     check(QUERIES["op5_simhash"](spark, folder).collect(), texts)
+
+
+def test_an_id_with_unlike_texts_stands_for_each_group(spark):
+    old, new = "the first text of a page fetched early", "quite another page was found there some days later"
+    rows = [(3, old), (3, new), (3, new), (1, old), (7, new), (4, "x y z"), (4, "u v w")]
+    found = [simhash.keep_one(documents(spark, part)).collect() for part in (rows, rows[::-1])]
+    for kept in found:
+        assert sorted((r["doc_id"], r["text"]) for r in kept) == [(1, old), (3, new), (4, "u v w"), (4, "x y z")]
