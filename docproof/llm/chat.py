@@ -2,7 +2,7 @@
 
 A conversation is rendered as ``<s>`` and its turns: ``[INST]`` text ``[/INST]`` for a user, ``[SYSTEM_PROMPT]`` text
 ``[/SYSTEM_PROMPT]`` for a system prompt, text ``</s>`` for an assistant, ``[TURN]`` role ``[ROLE]`` text ``[/TURN]``
-for anybody else. The parser cuts at closing marks and recovers a turn only if no control string is left inside it.
+for anybody else. The parser cuts behind closing marks and recovers a turn only if no control string is left inside it.
 
 Each turn is first rendered as it is and parsed again. Where the recovered turn differs from the source, its content
 conflicts with the grammar: every control string in it gets a backslash behind its first character (one more, if it has
@@ -40,17 +40,16 @@ def _any(strings) -> str:
     return "|".join(re.escape(s) for s in strings)
 
 
-def _behind(first: str, what: str) -> str:
-    """``what`` between a first character and the backslashes and rest of one of its control strings."""
-    rest = _any(c[1:] for c in CONTROLS if c[0] == first)
-    return rf"(?<={re.escape(first)}){what}(?=\\*(?:{rest}))"
+def _rest(first: str) -> str:
+    return rf"(?:{_any(c[1:] for c in CONTROLS if c[0] == first)})"
 
 
-CONTROL = _any(CONTROLS)
-INSERT = "|".join(_behind(f, "") for f in _FIRSTS)
-REMOVE = "|".join(_behind(f, r"\\") for f in _FIRSTS)
-TURN = (rf"(?s)({_any([m[1] for m in MARKS if m[1]] + [NAMED])}|)(.*?)"
-        rf"({_any([m[2] for m in MARKS] + [NAMED_END])})")
+# The patterns begin with single characters, so that a scan passes over plain text quickly.
+CONTROL = "|".join(re.escape(f) + _rest(f) for f in _FIRSTS)
+INSERT = "|".join(rf"(?<={re.escape(f)})(?=\\*{_rest(f)})" for f in _FIRSTS)
+REMOVE = r"\\(?:" + "|".join(rf"(?<={re.escape(f)}\\)(?=\\*{_rest(f)})" for f in _FIRSTS) + ")"
+CLOSED = (*(m[2] for m in MARKS), NAMED_END)
+AFTER_CLOSE = rf"(?<=[{re.escape(''.join(sorted({c[-1] for c in CLOSED})))}])(?<={_any(CLOSED)})"
 
 
 def escape(text: Column) -> Column:
@@ -58,7 +57,15 @@ def escape(text: Column) -> Column:
 
 
 def unescape(text: Column) -> Column:
-    return F.regexp_replace(text, REMOVE, "")
+    return F.when(text.contains("\\"), F.regexp_replace(text, REMOVE, "")).otherwise(text)
+
+
+def _plain(text: Column) -> Column:
+    """Text without escapes; null where a control string is left in it."""
+    marked = F.lit(False)
+    for first in _FIRSTS:
+        marked = marked | text.contains(first)
+    return F.when(~(marked & text.rlike(CONTROL)), unescape(text))
 
 
 def _by_role(role: Column, place: int, other: Column) -> Column:
@@ -75,29 +82,27 @@ def render_turn(role: Column, text: Column, safe: bool = False) -> Column:
     return F.concat(opening, kept(text), _by_role(role, 2, F.lit(NAMED_END)))
 
 
+def parse_turn(piece: Column) -> Column:
+    """(role, text) of one rendered turn, null fields where it is not one: other marks, or control strings inside."""
+
+    def between(opening: str, closing: str) -> Column:
+        inner = F.substring(piece, F.lit(len(opening) + 1), F.length(piece) - len(opening) - len(closing))
+        return F.when(piece.startswith(opening), inner)
+
+    named = between(NAMED, NAMED_END)
+    cut = F.instr(named, NAME_END)
+    role = F.when(piece.endswith(NAMED_END) & (cut > 0), _plain(F.substring(named, F.lit(1), cut - 1)))
+    text = F.when(cut > 0, F.substring(named, cut + len(NAME_END), F.length(named)))
+    for name, opening, closing in MARKS:
+        role = F.when(piece.endswith(closing), F.when(piece.startswith(opening), F.lit(name))).otherwise(role)
+        text = F.when(piece.endswith(closing), between(opening, closing)).otherwise(text)
+    return F.struct(role.alias("role"), _plain(text).alias("text"))
+
+
 def parse_turns(rendered: Column) -> Column:
-    """array of (role, text) read from rendered turns; null fields where control strings are left in them.
-
-    Null if the marks don't cover the whole text, or an opening mark isn't that of its close.
-    """
-    parts = [F.regexp_extract_all(rendered, F.lit(TURN), F.lit(i)) for i in (1, 2, 3)]
-    plain = lambda c: F.when(~c.rlike(CONTROL), unescape(c))
-
-    def turn(p: Column) -> Column:
-        close, inner = p["c"], p["b"]
-        role, opening = F.lit(None).cast("string"), F.lit(NAMED)
-        for name, start, end in MARKS:
-            role = F.when(close == end, F.lit(name)).otherwise(role)
-            opening = F.when(close == end, F.lit(start)).otherwise(opening)
-        named = close == NAMED_END
-        cut = F.instr(inner, NAME_END)
-        name = F.when(cut > 0, plain(F.substring(inner, F.lit(1), cut - 1)))
-        text = F.when(~named, inner).when(cut > 0, F.substring(inner, cut + len(NAME_END), F.length(inner)))
-        return F.struct(F.when(opening == p["a"], F.when(named, name).otherwise(role)).alias("role"), plain(text).alias("text"))
-
-    zipped = F.arrays_zip(*(p.alias(n) for p, n in zip(parts, "abc")))
-    covered = F.aggregate(zipped, F.lit(0), lambda n, p: n + F.length(p["a"]) + F.length(p["b"]) + F.length(p["c"]))
-    return F.when(covered == F.length(rendered), F.transform(zipped, turn))
+    """array of (role, text) read from rendered turns; null if something follows the last closing mark."""
+    pieces = F.split(rendered, AFTER_CLOSE, -1)
+    return F.when(F.element_at(pieces, -1) == "", F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), parse_turn))
 
 
 def parse(formatted: Column) -> Column:
@@ -113,10 +118,10 @@ def loss_texts(formatted: Column, spans: Column) -> Column:
 
 def format_conversations(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role",
                          text: str = "text") -> DataFrame:
-    """(conv_id, formatted, loss_spans, n_escaped) of every conversation."""
+    """(conv_id, formatted, loss_spans, turns, n_escaped) of every conversation, ``turns`` as parsed from ``formatted``."""
     source = rows.select(F.col(conv_id).alias("conv_id"), F.col(turn).alias("turn"),
                          *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((role, "role"), (text, "text"))))
-    same = lambda piece: F.coalesce(parse_turns(F.col(piece)) == F.array(F.struct("role", "text")), F.lit(False))
+    same = lambda piece: F.coalesce(parse_turn(F.col(piece)) == F.struct("role", "text"), F.lit(False))
     tried = source.withColumn("piece", render_turn(F.col("role"), F.col("text"))).withColumn("plain", same("piece"))
     mended = tried.withColumn("piece", F.when(F.col("plain"), F.col("piece")).otherwise(render_turn(F.col("role"), F.col("text"), True)))
     lost = F.raise_error(F.lit("a turn does not survive its escapes"))
@@ -133,16 +138,17 @@ def format_conversations(rows: DataFrame, conv_id: str = "conv_id", turn: str =
     formatted = F.concat(F.lit(BEGIN), F.array_join(F.col("turns.piece"), ""))
     spans = F.transform(F.filter("turns", lambda t: t["learned"]), lambda t: F.struct(t["start"].alias("start"), t["stop"].alias("stop")))
     whole = whole.select("conv_id", "turns", formatted.alias("formatted"), spans.alias("loss_spans"))
-    again = parse(F.col("formatted")) == F.flatten(F.transform("turns", lambda t: parse_turns(t["piece"])))
+    whole = whole.withColumn("again", parse(F.col("formatted")))
+    same = F.coalesce(F.col("again") == F.transform("turns", lambda t: parse_turn(t["piece"])), F.lit(False))
     lost = F.raise_error(F.lit("a conversation does not parse into its turns"))
-    checked = F.when(F.coalesce(again, F.lit(False)), F.col("formatted")).otherwise(lost)
-    return whole.select("conv_id", checked.alias("formatted"), "loss_spans", F.size(F.filter("turns", lambda t: t["escaped"])).alias("n_escaped"))
+    return whole.select("conv_id", F.when(same, F.col("formatted")).otherwise(lost).alias("formatted"), "loss_spans",
+                        F.col("again").alias("turns"), F.size(F.filter("turns", lambda t: t["escaped"])).alias("n_escaped"))
 
 
 def digest_conversations(rows: DataFrame) -> DataFrame:
     """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars), read back from the rendered texts."""
     made = format_conversations(rows)
-    read = made.select("conv_id", "formatted", parse(F.col("formatted")).alias("turns"),
+    read = made.select("conv_id", "formatted", "turns",
                        F.array_join(loss_texts(F.col("formatted"), F.col("loss_spans")), "").alias("loss"), "n_escaped")
     listed = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(listed, 256).alias("turns_sha256"),
