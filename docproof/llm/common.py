@@ -37,7 +37,17 @@ def staged(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """Write a table to shared storage and read it back: the work is done once and outlives lost executors."""
     path = shared_folder(df.sparkSession)
     df.write.option("compression", codec).parquet(f"{path}/t")
-    return df.sparkSession.read.schema(df.schema).parquet(f"{path}/t")
+    found = df.sparkSession.read.schema(df.schema).parquet(f"{path}/t")
+    found.staged_path = path
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``staged`` wrote; the caller reads neither them nor anything not yet computed from them again."""
+    for df in tables:
+        jvm = df.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.staged_path)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def worker_cached(key: tuple, make: Callable[[], object]) -> object:
@@ -186,7 +196,9 @@ def components(edges: DataFrame) -> DataFrame:
         after = staged(small.filter("u != v").distinct())
         fingerprint = [F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))]
         if links.agg(*fingerprint).first() == after.agg(*fingerprint).first():
+            discard(after)
             break
+        discard(links)
         links = after
     roots = links.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

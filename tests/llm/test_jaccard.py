@@ -73,9 +73,11 @@ def test_the_stage_equals_all_pairs(spark):
 
 def test_any_order_of_shingles_finds_all(spark, monkeypatch):
     rows = corpus()
-    for common in (2, 10**6):
+    for common, block, hot, partners in ((2, 2048, 200_000, 4096), (10**6, 3, 200_000, 2), (2, 4, 5, 1)):
         monkeypatch.setattr(jaccard, "COMMON", common)
-        monkeypatch.setattr(jaccard, "CENTRES", 1)
+        monkeypatch.setattr(jaccard, "BLOCK_ROWS", block)
+        monkeypatch.setattr(jaccard, "HOT_ROWS", hot)
+        monkeypatch.setattr(jaccard, "PARTNERS", partners)
         assert sorted(r["doc_id"] for r in jaccard.keep_one(documents(spark, rows)).collect()) == survivors(rows)
 
 
@@ -107,3 +109,19 @@ def test_an_id_with_unlike_texts_stands_for_each_group(spark):
     found = [jaccard.keep_one(documents(spark, part)).collect() for part in (rows, rows[::-1])]
     for kept in found:
         assert sorted((r["doc_id"], r["text"]) for r in kept) == [(1, old), (3, new), (4, "u v w"), (4, "x y z")]
+
+
+def test_sketches_bound_what_is_not_shared():
+    np = jaccard.np
+    rng = np.random.default_rng(2)
+    for _ in range(300):
+        base = np.unique(rng.integers(0, 1 << 63, rng.integers(1, 400)).astype(np.uint64))
+        other = np.unique(np.concatenate([base[rng.random(len(base)) < rng.random()], rng.integers(0, 1 << 63, rng.integers(0, 90)).astype(np.uint64)]))
+        a, b = jaccard.sketch(base), jaccard.sketch(other)
+        width = min(len(a), len(b))
+        bits = jaccard.folded(jaccard._bits(a), width) ^ jaccard.folded(jaccard._bits(b), width)
+        apart = np.bitwise_count(bits).sum(axis=1)
+        assert apart[0] <= len(np.setxor1d(base, other))
+        if jaccard.similar(base, other):
+            assert jaccard.can_link(np.array([len(base)]), len(other), apart).all()
+    assert len(jaccard.sketch(np.zeros(0, np.uint64))) == 8

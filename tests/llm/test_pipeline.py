@@ -1,11 +1,11 @@
 from collections import Counter
 
-import numpy as np
 import pytest
 from helpers import EDGES, documents
+from test_jaccard import survivors
 
 import corpus_pipeline
-from docproof.llm import language, mixing, pieces, quality, simhash
+from docproof.llm import language, mixing, pieces, quality
 from docproof.llm.common import remainder, staged, table
 from docproof.llm.queries import DOMAIN_TARGETS, tokenizer_file
 
@@ -38,19 +38,7 @@ def test_each_stage_against_its_own_input(spark, outputs):
     names, scores = parsed.predict([r["text"] or "" for r in rows])
     assert ids(d2) == Counter(r["doc_id"] for r, n, s in zip(rows, names, scores) if n != "und" and s >= language.LEAST_SCORE)
 
-    rows = sorted(d2.collect(), key=lambda r: r["doc_id"])
-    prints = simhash.fingerprints([r["text"] or "" for r in rows])
-    root = {}
-    for i in range(len(rows)):  # the smallest row reached by any chain of links
-        if i in root:
-            continue
-        todo, root[i] = [i], i
-        while todo:
-            for j in np.flatnonzero(np.bitwise_count(prints ^ prints[todo.pop()]) <= 3).tolist():
-                if j not in root:
-                    root[j] = i
-                    todo.append(j)
-    assert ids(d3) == Counter(rows[i]["doc_id"] for i in set(root.values()))
+    assert ids(d3) == Counter(survivors([(r["doc_id"], r["text"]) for r in d2.collect()]))
 
     labelled = d3.withColumnRenamed("lang", "domain")
     want = {r["doc_id"]: r["copies"] for r in mixing.mix(d3, labelled, DOMAIN_TARGETS).collect()}
