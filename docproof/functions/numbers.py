@@ -67,13 +67,19 @@ def amount_candidates(text: Column, strict: bool = False) -> Column:
     return F.regexp_extract_all(text, F.lit(AMOUNT_RUN_ONE_LINE if strict else AMOUNT_RUN), F.lit(0))
 
 
+def plain_amounts(text: Column, strict: bool = False) -> Column:
+    """The text with ASCII digits and without blanks.
+
+    Blanks belong to every run they touch and are dropped when a run is read, so they can go first: the runs left are the
+    same amounts, found with a plain character class.
+    """
+    return _ascii_number(text, keep=LINE_ENDS if strict else "")
+
+
 def text_amounts(text: Column, strict: bool = False) -> Column:
     """The amounts printed in a text, rounded to two decimals."""
-    # Blanks belong to every run they touch and are dropped when a run is read, so they can go first: the runs left in
-    # the ASCII form of the whole text are the same amounts, found with a plain character class.
-    plain = _ascii_number(text, keep=LINE_ENDS if strict else "")
     runs = F.filter(
-        F.regexp_extract_all(plain, F.lit("[0-9.,]+"), F.lit(0)), lambda r: F.rlike(r, F.lit("[0-9]"))
+        F.regexp_extract_all(plain_amounts(text, strict), F.lit("[0-9.,]+"), F.lit(0)), lambda r: F.rlike(r, F.lit("[0-9]"))
     )
     values = F.transform(runs, lambda r: F.round(_to_double(_resolve_separators(r)), 2))
     return F.array_distinct(F.filter(values, lambda v: v.isNotNull()))

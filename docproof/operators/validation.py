@@ -6,6 +6,8 @@ before any field looks at them.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,8 @@ from docproof.functions.dates import is_valid_date
 from docproof.functions.jsonio import json_path_text, parse_model_json
 from docproof.operators import scoring
 
+#: For a field: is it named in the text, and is its value found there?
+Facts = Callable[[str], tuple[Column, Column]]
 ISSUE_TYPE = "array<struct<field:string,message:string,severity:string>>"
 
 
@@ -102,23 +106,19 @@ def _grounded(field: str, strict: bool) -> Column:
     return text_grounded(value, fold, strict)
 
 
-def field_state(field: str, strict: bool = False) -> Column:
-    """One of the four states, from the ``v_`` and text index columns."""
+def field_state(field: str, strict: bool = False, facts: Facts | None = None) -> Column:
+    """One of the four states, from the ``v_`` and text index columns, or from facts about the text found elsewhere."""
     value = F.col(f"v_{field}")
     empty = value.isNull() if field in C.AMOUNT_FIELDS else tx.is_empty_value(value)
-    return (
-        F.when(~field_mentioned(field, F.col("ocr_lower")), C.ABSENT)
-        .when(empty, C.MISSING)
-        .when(_grounded(field, strict), C.VALID)
-        .otherwise(C.INCORRECT)
-    )
+    named, found = facts(field) if facts else (field_mentioned(field, F.col("ocr_lower")), _grounded(field, strict))
+    return F.when(~named, C.ABSENT).when(empty, C.MISSING).when(found, C.VALID).otherwise(C.INCORRECT)
 
 
-def with_field_states(df: DataFrame, strict: bool = False) -> DataFrame:
+def with_field_states(df: DataFrame, strict: bool = False, facts: Facts | None = None) -> DataFrame:
     """Add ``s_<field>`` for every field and ``math_failed``; the final state of the total includes the sum check."""
     subtotal, tax, total = (F.col(f"v_{f}") for f in C.AMOUNT_FIELDS)
-    states = {f"s_{f}": field_state(f, strict) for f in C.FIELDS if f != "total_amount"}
-    states["found_total_amount"] = field_state("total_amount", strict)
+    states = {f"s_{f}": field_state(f, strict, facts) for f in C.FIELDS if f != "total_amount"}
+    states["found_total_amount"] = field_state("total_amount", strict, facts)
     states["math_failed"] = F.coalesce(
         F.abs(subtotal + tax - total) > C.MATH_TOLERANCE, F.lit(False)
     )
@@ -233,7 +233,10 @@ def with_scores(df: DataFrame) -> DataFrame:
 def validate(df: DataFrame, strict: bool = False) -> DataFrame:
     """Values, text index, states and scores for rows with ``ocr_text`` and ``raw_llm_response``."""
     indexed = with_text_index(with_field_values(with_answer(df)), strict=strict)
-    states = with_field_states(indexed, strict)
+    return scored_states(with_field_states(indexed, strict))
+
+
+def scored_states(states: DataFrame) -> DataFrame:
     fixed = [*(f"s_{f}" for f in C.FIELDS), "found_total_amount", "math_failed"]
     return with_scores(evaluate_once(states, *fixed))
 

@@ -252,6 +252,20 @@ def doc_pages(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def invoice_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """The texts of the invoices on pages of 25 characters, so that values and amounts run over page ends."""
+    texts = invoices(spark, folder).select("doc_id", F.col("ocr_text").alias("t"))
+    cut = texts.select("doc_id", "t", F.explode(F.sequence(F.lit(0), F.floor((F.length("t") - 1) / 25))).alias("page_no"))
+    return cut.select(
+        "doc_id",
+        F.col("page_no").cast("long").alias("page_no"),
+        F.lit("").alias("header_text"),
+        F.substring(F.col("t"), (F.col("page_no") * 25 + 1).cast("int"), F.lit(25)).alias("body_text"),
+        F.lit("").alias("footer_text"),
+        F.lit(1).cast("long").alias("total_lines"),
+    )
+
+
 def token_chunks(spark: SparkSession, folder: str) -> DataFrame:
     """A model's answer stream: one JSON line per word of a turn, then the closing record."""
     turns = read_table(spark, folder, "conversations").select(

@@ -24,7 +24,7 @@ from docproof.functions import text as tx
 from docproof.functions.html import strip_html
 from docproof.functions.html import strip_tags_simple as tags_to_lines
 from docproof.operators import analytics as an
-from docproof.operators import assembly, exports, ordered, relations, reviews, scoring, search
+from docproof.operators import assembly, exports, ordered, pageflow, relations, reviews, scoring, search
 from docproof.operators import fieldrules as rules
 from docproof.operators import validation as val
 from docproof.plans import bindings as b
@@ -1038,6 +1038,24 @@ def process_documents(spark, d):
     return _flat_result(process.process_documents(b.invoices(spark, d)))
 
 
+def _judged_pages(spark, d, span):
+    answers = b.invoices(spark, d).select("doc_id", "raw_llm_response")
+    judged = pageflow.process_pages(b.invoice_pages(spark, d), answers, pages_per_segment=span)
+    return judged.select("doc_id", "status", "confidence", "valid", "penalty", "text_length",
+                         _issues_text(F.col("issues")).alias("issues"), _map_text(val.states_map()).alias("field_states"))
+
+
+@query
+def process_pages(spark, d):
+    return _judged_pages(spark, d, 256)
+
+
+@query
+def process_pages_short_spans(spark, d):
+    """Spans of three pages, so that every document has several."""
+    return _judged_pages(spark, d, 3)
+
+
 def _flat_result(processed: DataFrame) -> DataFrame:
     stored = F.col("stored")
     return processed.withColumn("stored", js.read_object(F.col("json_output"))).select(

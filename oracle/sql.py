@@ -478,6 +478,21 @@ def build() -> dict[str, str]:
       CASE WHEN json_type(a, '$.financials.total_amount') = 'VARCHAR' THEN json_extract_string(a, '$.financials.total_amount') END
         AS raw_total, json_extract_string(a, '$.vendor.phone') AS vendor_phone FROM fin"""
 
+    # --- pages to verdict: pages of 25 characters, cleaned and joined again, judged as one text
+    cut = """pgs AS (SELECT doc_id, p AS page_no, '' AS header_text, ocr_text[25 * p + 1 : 25 * p + 25] AS body_text,
+      '' AS footer_text, 1 AS total_lines FROM (SELECT doc_id, ocr_text, unnest(range((length(ocr_text) - 1) // 25 + 1)) AS p FROM inv))"""
+    joined = f"""{i.pages_cleaned().replace(i.PAGES, cut)},
+      texts AS (SELECT doc_id, {whole} AS page_text FROM pgs_comp GROUP BY doc_id),
+      judged AS (SELECT inv.* REPLACE (page_text AS ocr_text) FROM inv JOIN texts USING (doc_id))"""
+    penalty = " + ".join(
+        f"CASE WHEN f_{f} IN ('{C.MISSING}', '{C.INCORRECT}') THEN {C.PENALTY.get(f, C.PENALTY['other'])} ELSE 0 END" for f in C.FIELDS
+    )
+    chain = i.scored().replace("FROM inv)", "FROM judged)")
+    sql["process_pages"] = f"""WITH {inv}, {joined}, {chain} SELECT doc_id, status, confidence, valid,
+      CASE WHEN math_failed THEN {C.PENALTY['math']} ELSE 0 END + {penalty} AS penalty, length(ocr_text)::BIGINT AS text_length,
+      {issue_text} AS issues, {pairs} AS field_states FROM fin"""
+    sql["process_pages_short_spans"] = sql["process_pages"]
+
     # --- staged design
     def labelled(label: str) -> str:
         pattern = f"(?im)^[ \\t]*{label}[ \\t]*(?:[:#]|[ \\t])[ \\t]*([^\\n]*[^\\s])[ \\t]*$"
