@@ -1191,7 +1191,7 @@ def sql_functions(spark, d):
 
 
 def _arrive(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("append").parquet(path)
 
 
 @query
@@ -1212,11 +1212,21 @@ def stream_dedupe(spark, d):
     from docproof.streaming import jobs
 
     base = scratch_dir(spark)
-    stamped = b.uploads(spark, d).withColumn("ts", F.lit("2024-01-01").cast("timestamp"))
-    _arrive(stamped, f"{base}/in")
-    stream = jobs.read_arrivals(spark, f"{base}/in", stamped.schema)
-    jobs.run_to_table(jobs.dedupe_stream(stream), f"{base}/out", f"{base}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{base}/out").select("name", "size", "last_modified")
+    # Batches of uploads as they come, their repeats within the hour, and all again a day later. The clock stands still
+    # without arrivals, so one file of its own arrives between.
+    started = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    uploads = b.uploads(spark, d).select("name", "size", "last_modified")
+    second = F.pmod(F.xxhash64("name", "last_modified"), F.lit(1200))
+    at = lambda rows, seconds: rows.withColumn("ts", (started.cast("long") + seconds).cast("timestamp"))
+    tick = spark.range(1).select(*(F.lit(None).cast(t).alias(n) for n, t in uploads.dtypes))
+    batches = (at(uploads, second), at(uploads, second + 1500), at(tick, F.lit(80_000)), at(uploads, second + 86_400))
+    for batch in batches:
+        _arrive(batch, f"{base}/in")
+        stream = jobs.read_arrivals(spark, f"{base}/in", batch.schema)
+        jobs.run_to_table(jobs.dedupe_stream(stream), f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    kept = spark.read.parquet(f"{base}/out").filter("name IS NOT NULL")
+    day = F.floor((F.col("ts").cast("long") - started.cast("long")) / 86_400).alias("day")
+    return kept.select("name", "size", "last_modified", day)
 
 
 @query
@@ -1239,6 +1249,5 @@ def stream_tokens(spark, d):
     chunks = b.token_chunks(spark, d)
     _arrive(chunks, f"{base}/in")
     stream = jobs.read_arrivals(spark, f"{base}/in", chunks.schema)
-    out = tokens.token_stream(stream)
-    jobs.run_to_table(out, f"{base}/out", f"{base}/checkpoint").awaitTermination()
-    return tokens.complete_spans(spark.read.parquet(f"{base}/out"), spark.read.parquet(f"{base}/in"))
+    tokens.spans_to_table(tokens.token_stream(stream), f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return tokens.stream_texts(tokens.latest_spans(spark, f"{base}/out"))

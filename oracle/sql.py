@@ -546,7 +546,8 @@ def build() -> dict[str, str]:
     # --- streams
     sql["stream_process"] = f"""{fin} SELECT doc_id AS id, original_filename AS filename, status, confidence,
       v_document_number AS document_number FROM fin"""
-    sql["stream_dedupe"] = f"WITH {inv}, {i.UPLOADS} SELECT DISTINCT name, size, last_modified FROM ups"
+    # Repeats within the hour fall away; a day later every file is new again.
+    sql["stream_dedupe"] = f"""WITH {inv}, {i.UPLOADS} SELECT DISTINCT name, size, last_modified, day::BIGINT AS day FROM ups, (VALUES (0), (1)) d(day)"""
     sql["with_model_response"] = f"""WITH {inv} SELECT doc_id, '{{"n":' || length(ocr_text) || '}}' AS raw_llm_response FROM inv"""
     sql["sql_functions"] = f"""WITH {amt} SELECT l_orderkey AS id, l_linenumber AS part, {i.number_str('raw')} AS text,
       {i.number('raw')} AS number FROM am UNION ALL SELECT doc_id, 0, {i.fold('text')}, NULL FROM documents"""

@@ -1,6 +1,7 @@
 """Streams give what the batch operators give."""
 
 import datetime as dtm
+import time
 
 from pyspark.sql import functions as F
 
@@ -56,13 +57,66 @@ def test_trend_stream_counts_all_days(spark, small, tmp_path):
     assert {str(r["label"]): r["value"] for r in jobs.read_trend(spark, f"{tmp_path}/out").collect()} == batch
 
 
+def chunk(seq, content, done=False):
+    reason = ',"done_reason":"stop","eval_count":7' if done else ""
+    return f'{{"message":{{"content":"{content}"}},"done":{str(done).lower()}{reason}}}'
+
+
+def test_token_stream_over_batches_with_gaps_repeats_and_abandoned_requests(spark, tmp_path):
+    """Every row comes from the stream; a span is closed only when all its chunks are there."""
+    line = lambda req, seq, *rest: (req, seq, chunk(seq, *rest))
+    batches = (
+        [line(1, 0, "a "), line(1, 1, "b "), line(2, 0, "lost "), line(3, 1, "late "), line(4, 0, "x"), line(5, 0, "p "), line(5, 1, "q "), line(5, 2, "r ")],
+        [line(1, 1, "b "), line(1, 2, "c", True), line(3, 3, "", True), line(4, 2, "z", True), line(5, 3, "s "), line(5, 4, "", True)],
+        [line(1, 0, "a "), line(3, 0, "not "), line(3, 2, "at all"), (2, 5, "broken")],
+    )
+    schema = "req_id long, seq long, line string"
+    for batch in batches:
+        spark.createDataFrame(batch, schema).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = jobs.read_arrivals(spark, f"{tmp_path}/in", spark.createDataFrame([], schema).schema)
+        tokens.spans_to_table(tokens.token_stream(stream, 4), f"{tmp_path}/out", f"{tmp_path}/checkpoint").awaitTermination()
+    spans = tokens.latest_spans(spark, f"{tmp_path}/out")
+    state = {(r["req_id"], r["segment"]): (r["text"], r["closed"]) for r in spans.collect()}
+    assert state == {
+        (1, 0): ("a b c", True),  # closed in the second batch; the repeat of the third changes nothing
+        (2, 0): ("lost ", False), (2, 1): ("", False),  # given up
+        (3, 0): ("not late at all", True),  # closing record before the first chunk
+        (4, 0): ("xz", False),  # a gap
+        (5, 0): ("p q r s ", True), (5, 1): ("", True),  # a full span, and the one with the closing record
+    }
+    versions = {(r["req_id"], r["segment"], r["version"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert {(3, 0, 1), (3, 0, 2), (3, 0, 3)} <= versions
+    everything = spark.createDataFrame([row for batch in batches for row in batch], schema).dropDuplicates(["req_id", "seq"])
+    want = assemble_token_stream(everything, 4).filter("NOT (req_id = 2 AND segment = 1)")
+    got = tokens.stream_texts(spans).filter("NOT (req_id = 2 AND segment = 1)")
+    assert rows(got) == rows(want)
+
+
+def test_token_stream_frees_what_was_given_up(spark, tmp_path):
+    schema = "req_id long, seq long, line string"
+    spark.createDataFrame([(1, 0, chunk(0, "a"))], schema).write.parquet(f"{tmp_path}/in")
+    stream = jobs.read_arrivals(spark, f"{tmp_path}/in", spark.createDataFrame([], schema).schema)
+    query = tokens.spans_to_table(tokens.token_stream(stream, 4, timeout_ms=500), f"{tmp_path}/out", f"{tmp_path}/checkpoint",
+                                  {"processingTime": "500 milliseconds"})
+    held = []
+    try:
+        for _ in range(60):
+            time.sleep(0.5)
+            held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+            if held and max(held) > 0 and held[-1] == 0:
+                break
+    finally:
+        query.stop()
+    assert max(held) > 0 and held[-1] == 0
+    assert [(r["text"], r["closed"]) for r in tokens.latest_spans(spark, f"{tmp_path}/out").collect()] == [("a", False)]
+
+
 def test_token_stream_equals_batch_row_for_row(spark, small, tmp_path):
     """Also with requests that were given up or have a gap."""
     chunks = bindings.token_chunks(spark, small).filter(~((F.col("req_id") % 4 == 0) & (F.col("seq") % 9 == 5)))
     chunks.repartition(3).write.parquet(f"{tmp_path}/in")
     stream = jobs.read_arrivals(spark, f"{tmp_path}/in", chunks.schema, files_per_batch=1)
-    out = drain(spark, tokens.token_stream(stream, chunks_per_segment=16), tmp_path)
-    assert out.groupBy("req_id", "segment").count().filter("count > 1").count() == 0
-    rows = lambda df: sorted(map(tuple, df.collect()))
-    assert out.count() < assemble_token_stream(chunks, 16).count()
-    assert rows(tokens.complete_spans(out, chunks, 16)) == rows(assemble_token_stream(chunks, 16))
+    tokens.spans_to_table(tokens.token_stream(stream, 16), f"{tmp_path}/out", f"{tmp_path}/checkpoint").awaitTermination()
+    spans = tokens.latest_spans(spark, f"{tmp_path}/out")
+    assert spans.filter("NOT closed").count() > 0
+    assert sorted(map(tuple, tokens.stream_texts(spans).collect())) == sorted(map(tuple, assemble_token_stream(chunks, 16).collect()))
