@@ -2,8 +2,9 @@
 
 Equal vectors become one representative with a weight. In each tree a node splits its vectors at the middle of a random
 projection, and those near the middle go to both sides (spill). The top of each tree is fitted on a bounded sample
-(``SAMPLE_ROWS``) and only deals vectors into groups of a bounded size; every vector goes through it, and each group is
-split further by its own vectors, down to leaves that are compared in full. Links found in a leaf are verified by their
+(``SAMPLE_ROWS``) and only deals vectors into groups of about ``GROUP_CELLS`` numbers; a top ends where 64 sampled
+vectors are left, so beyond some 300 times that many vectors groups grow with the table. Every vector goes through it,
+and each group is split further by its own vectors, down to leaves that are compared in full. Links found in a leaf are verified by their
 cosine in double precision and given on as a spanning forest; the union over trees gives the components.
 
 The links of a vector are then counted inside its component, in blocks: every pair of a component is compared, so what
@@ -109,7 +110,8 @@ def forest_links(reps: DataFrame, n: int, width: int, threshold: float = COSINE,
     """Links (a, b) between representatives (rep, embedding) of one width that meet in a leaf of some tree."""
     spark = reps.sparkSession
     room = max(4 * LEAF, GROUP_CELLS // max(1, width))
-    depth = max(0, math.ceil(math.log2(max(1, n) / room)))
+    # With the spill each side keeps 0.5 + SPILL of its node, so halving alone would stop too early.
+    depth = max(0, math.ceil(math.log(max(1, n) / room) / -math.log(0.5 + SPILL)))
     tops: list[TreeTop] = []
     if depth:
         drawn = reps.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE_ROWS).select("embedding").toArrow()

@@ -7,7 +7,8 @@ against the language, and the language needing least wins. All documents of a ba
 lockstep, one character at a time, as array operations.
 
 The automata are fitted on a bounded sample of labelled rows (``docs_per_language``, ``chars_per_language``); every
-text is parsed whole.
+text is parsed whole. Of the letters of all samples together the ``MAX_SYMBOLS`` commonest are learned, which is enough
+for alphabets; any other letter ends a phrase, so languages written in thousands of signs are learned badly.
 
 Edge cases: a text that is null or has no letter gives ``und`` with score 0; ties go to the alphabetically first
 language; rows without text or label teach nothing; with no labelled row every text is ``und``; repeated rows and very
