@@ -21,6 +21,39 @@ def matches_text(search: str) -> Column:
     return found
 
 
+GRAM = 3
+
+
+def _grams(text: Column) -> Column:
+    """The distinct runs of ``GRAM`` characters of a text in lower case."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)))
+
+
+def text_postings(documents: DataFrame) -> DataFrame:
+    """(gram, id) of everything ``matches_text`` looks at, each once, ready to be written beside the documents.
+
+    Sorted by gram within ranges of (gram, id): a reader's filter on a few grams skips most of it, and a gram that every
+    document holds spreads over many files.
+    """
+    held = F.array_distinct(F.flatten(F.array(*(F.coalesce(_grams(F.col(c)), F.array().cast("array<string>")) for c in SEARCH_COLUMNS))))
+    pairs = documents.select(F.explode(held).alias("gram"), "id")
+    return pairs.repartitionByRange("gram", "id").sortWithinPartitions("gram", "id")
+
+
+def search_indexed(documents: DataFrame, postings: DataFrame, search: str) -> DataFrame:
+    """The documents ``matches_text`` finds, whose texts are read only where every gram of the text occurs.
+
+    A text of fewer than ``GRAM`` characters, or with the wildcards ``%`` and ``_``, has no gram to look up: all are read.
+    """
+    wanted = search.strip()
+    if len(wanted) < GRAM or "%" in wanted or "_" in wanted:
+        return documents.filter(matches_text(search))
+    grams = documents.sparkSession.range(1).select(_grams(F.lit(wanted)).alias("g")).first()["g"]
+    holders = postings.filter(F.col("gram").isin(*grams)).groupBy("id").agg(F.count_distinct("gram").alias("n"))
+    holders = holders.filter(F.col("n") == len(grams)).select("id")
+    return documents.join(holders, "id", "left_semi").filter(matches_text(search))
+
+
 def filter_date_range(df: DataFrame, date_from: str | None = None, date_to: str | None = None) -> DataFrame:
     """Days are inclusive on both sides."""
     if date_from:

@@ -250,6 +250,15 @@ def search_text(spark, d):
     return search.search_documents(_documents(spark, d), search=" customer#0000001_7 ").select(*_SHORT)
 
 
+@query
+def search_text_indexed(spark, d):
+    """By trigram postings written beside the documents."""
+    docs = _documents(spark, d)
+    path = f"{scratch_dir(spark)}/postings"
+    search.text_postings(docs).write.parquet(path)
+    return search.search_indexed(docs, spark.read.parquet(path), " customer#0000001 ").select(*_SHORT)
+
+
 @query
 def filter_type(spark, d):
     return search.search_documents(_documents(spark, d), document_type="1-URGENT").select(*_SHORT)
@@ -417,6 +426,14 @@ def confidence_distribution(spark, d):
     return an.confidence_distribution(_documents(spark, d))
 
 
+@query
+def confidence_summary(spark, d):
+    """Confidences are whole hundredths, so the quantiles of the sketch are exact; of the histogram the counts are whole."""
+    found = an.confidence_summary(_documents(spark, d))
+    counted = F.aggregate("histogram", F.lit(0.0), lambda n, bin: n + bin["y"]).cast("long").alias("counted")
+    return found.select(counted, *(F.get("quantiles", F.lit(i)).alias(f"q{p}") for i, p in enumerate((5, 25, 50, 75, 95))))
+
+
 @query
 def audit_count(spark, d):
     return an.audit_count(b.audit_logs(spark, d))

@@ -80,6 +80,7 @@ def build() -> dict[str, str]:
 
     # --- filters
     sql["search_text"] = f"WITH {docs} SELECT {short} FROM docs WHERE json_output ILIKE '%customer#0000001_7%'"
+    sql["search_text_indexed"] = f"WITH {docs} SELECT {short} FROM docs WHERE json_output ILIKE '%customer#0000001%'"
     sql["filter_type"] = f"WITH {docs} SELECT {short} FROM docs WHERE document_type = '1-URGENT'"
     sql["filter_status"] = f"WITH {docs} SELECT {short} FROM docs WHERE status = 'Needs Review'"
     sql["filter_date_range"] = f"""WITH {docs} SELECT {short} FROM docs
@@ -144,6 +145,8 @@ def build() -> dict[str, str]:
     sql["docs_by_type"] = f"WITH {docs} SELECT document_type AS label, count(id) AS value FROM docs GROUP BY 1"
     sql["daily_trend"] = "SELECT ts::DATE AS label, count(*) AS value FROM events GROUP BY 1"
     sql["confidence_distribution"] = f"WITH {docs} SELECT confidence FROM docs"
+    quantiles = ", ".join(f"quantile_disc(confidence, {p / 100}) AS q{p}" for p in (5, 25, 50, 75, 95))
+    sql["confidence_summary"] = f"WITH {docs} SELECT count(*) AS counted, {quantiles} FROM docs"
     sql["audit_count"] = "SELECT count(event_id) AS value FROM events"
     sql["search_total"] = f"WITH {docs} SELECT count(*) AS total FROM docs WHERE json_output ILIKE '%customer#00000001%'"
     good = " + ".join(f"(s_{f} IN ('{C.VALID}', '{C.ABSENT}'))::BIGINT" for f in C.FIELDS)

@@ -60,3 +60,21 @@ def test_no_query_multiplies_rows_without_a_key(spark, small, name):
         pytest.skip("runs a write to build its result")
     text = plan(QUERIES[name](spark, small))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+
+
+@pytest.mark.parametrize("text", ["INV-1", " inv-12 ", "Pdf", "a.p", "المورد", "o_3", "%", "p", "", "no such text", "\\", "voice_1"])
+def test_indexed_search_finds_the_same(spark, text):
+    names = ["invoice_1.pdf", "INV-12 Überweisung.PDF", "a.p", "المورد ٣", "o_3", "back\\slash", "", None, "x" * 5000]
+    docs = spark.createDataFrame([(i, n, names[-1 - i], f'{{"n":"INV-{i}"}}', None) for i, n in enumerate(names)],
+                                 "id long, filename string, original_filename string, extracted_json string, json_output string")
+    postings = search.text_postings(docs)
+    assert postings.count() == postings.distinct().count()
+    ids = lambda df: sorted(r["id"] for r in df.select("id").collect())
+    assert ids(search.search_indexed(docs, postings, text)) == ids(docs.filter(search.matches_text(text)))
+
+
+def test_indexed_search_reads_few_grams(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "abcd", "b", "c", "d")], "id long, " + ", ".join(f"{c} string" for c in search.SEARCH_COLUMNS))
+    search.text_postings(docs).write.parquet(f"{tmp_path}/p")
+    text = plan(search.search_indexed(docs, spark.read.parquet(f"{tmp_path}/p"), "abcd"))
+    assert re.search(r"PushedFilters: \[.*In\(gram, \[abc,bcd\]\)", text) and "Python" not in text
