@@ -60,3 +60,12 @@ def test_edge_rows_pass_through_every_stage(spark):
             rows = out.collect()
             assert (out.columns == docs.columns) or "ids" in out.columns
             assert rows or not part.count() or stage is corpus_pipeline.quality_filter
+            kept, given = Counter(r["doc_id"] for r in rows), Counter(r[0] for r in EDGES) if part is docs else Counter()
+            if stage is corpus_pipeline.near_dedup:
+                assert kept == Counter([1, 4, 5, 6, 8, 9, 10, None] if given else [])
+            elif stage is corpus_pipeline.encode:
+                assert kept == given
+            elif stage is corpus_pipeline.mix_domains:
+                assert set(kept) == set(given) and all(kept[i] >= given[i] for i in given)
+            else:
+                assert kept <= given
