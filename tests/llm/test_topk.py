@@ -26,8 +26,8 @@ def frame(spark, rows):
     return spark.createDataFrame([(i, v, 1, 0.5, 9) for i, v in rows], SCHEMA)
 
 
-def find(df, k=5, rows=topk.BLOCK_ROWS):
-    return sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 50 == 0, k, rows=rows).collect()))
+def find(df, k=5, rows=topk.BLOCK_ROWS, run_bytes=topk.RUN_BYTES):
+    return sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 50 == 0, k, rows=rows, run_bytes=run_bytes).collect()))
 
 
 def as_floats(rows):
@@ -54,3 +54,21 @@ def test_many_blocks_sparse_and_dense_terms(spark):
     rows = as_floats([(i, [rnd.choice([0.0, rnd.uniform(-1, 1)]) if d % 2 else rnd.choice([0.0, 0.0, 0.0, rnd.choice([-1.0, 0.25])])
                            for d in range(12)]) for i in range(400)])
     assert find(frame(spark, rows), 7, rows=37) == slow(rows, 7)
+
+
+def test_runs_of_queries_give_the_same(spark):
+    rnd = random.Random(8)
+    rows = as_floats([(i % 900, [rnd.choice([0.0, 0.5, -0.5, rnd.uniform(-1, 1)]) for _ in range(5)]) for i in range(1000)])
+    df = frame(spark, rows).repartition(3)
+    want = slow(rows, 4)
+    assert find(df, 4, rows=5, run_bytes=1) == want  # every block of queries is a run
+    assert find(df, 4, rows=5, run_bytes=500) == want
+
+
+def test_a_task_merges_its_blocks(spark):
+    rows = as_floats([(i, [0.1 * i, 1.0]) for i in range(120)])
+    candidates = frame(spark, rows).select("vec_id", topk.whole_numbers(F.col("embedding")).alias("weights"))
+    run = next(topk._runs(candidates.filter("vec_id % 50 = 0"), 2, topk.RUN_BYTES))
+    assert sorted(i for ids, _ in run for i in ids) == [0, 50, 100]
+    found = topk._search(candidates.coalesce(1), run, 3, 16)
+    assert found.count() == 9
