@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docproof.functions.dates import day_end, day_start, iso_timestamp
@@ -95,7 +95,7 @@ def sort_by_any(documents: DataFrame, sort: str = DEFAULT_SORT, descending: bool
 def page_documents(
     documents: DataFrame, page: int = 1, page_size: int = 12, sort: str = DEFAULT_SORT, descending: bool = True
 ) -> DataFrame:
-    """One page of the sorted documents. For pages far down use ``page_after``, whose cost does not grow."""
+    """One page of the sorted documents. For pages far down use ``page_ranked`` or ``page_after``, whose cost does not grow."""
     return sort_by_any(documents, sort, descending).offset((page - 1) * page_size).limit(page_size)
 
 
@@ -110,6 +110,39 @@ def page_after(
     return sort_by_any(documents.filter(beyond | tie), sort, descending).limit(page_size)
 
 
+def write_ranked(
+    documents: DataFrame, path: str, sort: str = DEFAULT_SORT, descending: bool = True, ranges: int = 200
+) -> None:
+    """Store the documents in order, cut into ``ranges`` of about equal size, with a directory of their ranks.
+
+    The id is part of the cuts, so a value that many documents share spreads over ranges. The directory has a row for
+    each range: its number, its documents and how many come before it.
+    """
+    direction = F.desc if descending else F.asc
+    order = [direction(sort_key(documents, sort)), direction("id")]
+    cut = documents.repartitionByRange(ranges, *order).withColumn("rank_range", F.spark_partition_id())
+    cut.sortWithinPartitions("rank_range", *order).write.partitionBy("rank_range").parquet(f"{path}/rows")
+    # Without a row nothing is written by partition, so names and types are kept by an empty table.
+    cut.limit(0).write.parquet(f"{path}/columns")
+    stored = documents.sparkSession.read.schema(cut.schema).parquet(f"{path}/rows")
+    counts = stored.groupBy("rank_range").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("rank_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts.withColumn("before", before).write.parquet(f"{path}/ranges")  # one row a range, so one task is enough
+
+
+def page_ranked(
+    spark: SparkSession, path: str, page: int = 1, page_size: int = 12, sort: str = DEFAULT_SORT, descending: bool = True
+) -> DataFrame:
+    """Any page of what ``write_ranked`` stored in the same order: only the ranges it lies in are read."""
+    first = (page - 1) * page_size
+    on_page = (F.col("before") < first + page_size) & (F.col("before") + F.col("n") > first)
+    found = spark.read.parquet(f"{path}/ranges").filter(on_page).select("rank_range", "before").collect()
+    rows = spark.read.schema(spark.read.parquet(f"{path}/columns").schema).parquet(f"{path}/rows")
+    rows = rows.filter(F.col("rank_range").isin([r["rank_range"] for r in found])).drop("rank_range")
+    skipped = min((r["before"] for r in found), default=first)
+    return sort_by_any(rows, sort, descending).offset(first - skipped).limit(page_size)
+
+
 def search_total(found: DataFrame) -> DataFrame:
     return found.agg(F.count(F.lit(1)).alias("total"))
 

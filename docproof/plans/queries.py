@@ -547,6 +547,13 @@ def page_documents_unknown_sort(spark, d):
     return search.page_documents(_documents(spark, d), page=2, sort="no_such_column").select(*_SHORT)
 
 
+@query
+def page_ranked(spark, d):
+    path = scratch_dir(spark)
+    search.write_ranked(_documents(spark, d), path, sort="confidence", ranges=40)
+    return search.page_ranked(spark, path, page=90, sort="confidence").select(*_SHORT)
+
+
 @query
 def page_after(spark, d):
     last = F.lit("1998-06-01").cast("timestamp_ntz")

@@ -223,6 +223,7 @@ def build() -> dict[str, str]:
     sql["page_documents"] = f"""WITH {docs} SELECT {short} FROM docs ORDER BY confidence DESC, id DESC LIMIT 12 OFFSET 24"""
     sql["page_documents_unknown_sort"] = f"""WITH {docs} SELECT {short} FROM docs ORDER BY created_at DESC, id DESC
       LIMIT 12 OFFSET 12"""
+    sql["page_ranked"] = f"""WITH {docs} SELECT {short} FROM docs ORDER BY confidence DESC, id DESC LIMIT 12 OFFSET 1068"""
     sql["page_after"] = f"""WITH {docs} SELECT {short} FROM docs WHERE (created_at, id) < ('1998-06-01'::TIMESTAMP, 700)
       ORDER BY created_at DESC, id DESC LIMIT 12"""
     sql["newest_n"] = f"WITH {docs}, {newest} SELECT {short} FROM newest"

@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from docproof.operators import search
+from docproof.operators import relations, search
 from docproof.plans import bindings, process
 from docproof.plans.queries import QUERIES
 
@@ -78,3 +78,37 @@ def test_indexed_search_reads_few_grams(spark, tmp_path):
     search.text_postings(docs).write.parquet(f"{tmp_path}/p")
     text = plan(search.search_indexed(docs, spark.read.parquet(f"{tmp_path}/p"), "abcd"))
     assert re.search(r"PushedFilters: \[.*In\(gram, \[abc,bcd\]\)", text) and "Python" not in text
+
+
+@pytest.mark.parametrize("descending", [True, False])
+@pytest.mark.parametrize("sort", ["status", "created_at", "unknown"])
+def test_ranked_pages_equal_offset_pages(spark, tmp_path, sort, descending):
+    docs = spark.range(500).select(
+        "id", F.expr("if(id % 7 = 0, null, if(id % 3 > 0, 'same', concat('s', id % 11)))").alias("status"),
+        F.expr("timestamp_ntz'2024-01-01' + make_interval(0, 0, 0, id % 20)").alias("created_at"),
+    )
+    search.write_ranked(docs, f"{tmp_path}/r", sort, descending, ranges=9)
+    for page in (1, 2, 21, 41, 42, 43, 99):
+        got = search.page_ranked(spark, f"{tmp_path}/r", page, 12, sort, descending).collect()
+        assert got == search.page_documents(docs, page, 12, sort, descending).collect(), page
+    text = plan(search.page_ranked(spark, f"{tmp_path}/r", 30, 12, sort, descending))
+    ranges = re.search(r"PartitionFilters: \[(.*?)\], PushedFilters", text).group(1)
+    assert "rank_range" in ranges and len(set(re.findall(r"\b\d+\b", ranges.split("IN")[-1]))) <= 2
+    search.write_ranked(docs.limit(0), f"{tmp_path}/none", sort, descending)
+    assert search.page_ranked(spark, f"{tmp_path}/none", 1, 12, sort, descending).count() == 0
+
+
+def test_deletes_scan_each_table_once(spark, tmp_path):
+    def stored(name, df):
+        df.write.parquet(f"{tmp_path}/{name}")
+        return spark.read.parquet(f"{tmp_path}/{name}")
+
+    sessions = stored("sessions", spark.range(10).select("id", (F.col("id") % 2 == 0).alias("old")))
+    docs = stored("documents", spark.range(100).select("id", (F.col("id") % 10).alias("session_id")))
+    children = {n: stored(n, spark.range(300).select("id", (F.col("id") % 120).alias("document_id"))) for n in ("a", "b")}
+    left = relations.delete_sessions(sessions, docs, sessions.filter("old"), children)
+    assert all(plan(t).count("FileScan") == 1 for t in left.values())
+    assert {n: t.count() for n, t in left.items()} == {"sessions": 5, "documents": 50, "a": 170, "b": 170}
+    left = relations.delete_documents(docs, docs.filter("id < 30"), children)
+    assert all(plan(t).count("FileScan") == 1 for t in left.values())
+    assert left["documents"].count() == 70
