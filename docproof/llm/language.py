@@ -10,6 +10,10 @@ The automata are fitted on a bounded sample of labelled rows (``docs_per_languag
 text is parsed whole. Of the letters of all samples together the ``MAX_SYMBOLS`` commonest are learned, which is enough
 for alphabets; any other letter ends a phrase, so languages written in thousands of signs are learned badly.
 
+The score only says how far the winner leads. ``accepted`` also asks that a text fits the winner at all: its bits a
+letter may be ``UNUSUAL`` times what labelled texts need that were left out of an automaton of the other texts (nine in
+ten pieces of them need less), and ``SHORT_PHRASES`` phrases more, so that short texts are not judged by chance.
+
 Edge cases: a text that is null or has no letter gives ``und`` with score 0; ties go to the alphabetically first
 language; rows without text or label teach nothing; with no labelled row every text is ``und``; repeated rows and very
 long texts are rows like any other; an empty table gives an empty result.
@@ -32,6 +36,10 @@ DOCS_PER_LANGUAGE = 256
 CHARS_PER_LANGUAGE = 40_000
 MAX_SYMBOLS = 126
 LEAST_SCORE = 0.4
+UNUSUAL = 2.25
+SHORT_PHRASES = 8
+PIECE, LEAST_LETTERS = 400, 100  # of a left-out text: characters of a piece, letters of one whose rate counts
+LEAST_TEXTS, LEAST_PIECES = 2, 10  # left out of a language
 SLICE = 3 << 20  # bytes of text that move through the automata together
 GAP, UNKNOWN = 0, 1
 UNDETERMINED = "und"
@@ -115,6 +123,7 @@ class LanguageModel:
             tables.append(table.ravel())
             at += len(table)
             self.rates.append(math.log2(max(2, len(codes))))
+        self.usual = np.full(len(self.languages), np.inf)
         self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
         self.starts = np.array(starts, np.int32)
 
@@ -159,21 +168,48 @@ class LanguageModel:
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         """Language and score of each text. The score is the winner's share when every phrase more than the best costs
         a factor e, so it grows with the length of the text and the lead."""
+        names, score, _ = self.judge(texts)
+        return names, score
+
+    def judge(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language, score and whether the text fits that language, by the bits a letter that are usual for it."""
         if not self.languages:
-            return [UNDETERMINED] * len(texts), np.zeros(len(texts))
+            return [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
         count, letters = self.phrases(texts)
         bits = count * np.array(self.rates)
         best = bits.argmin(axis=1)
+        fits = bits.min(axis=1) - SHORT_PHRASES * np.array(self.rates)[best] <= UNUSUAL * self.usual[best] * np.maximum(letters, 1)
         lead = (bits - bits.min(axis=1, keepdims=True)) / np.mean(self.rates)
         score = 1.0 / np.exp(-lead).sum(axis=1)
         names = [self.languages[b] if c else UNDETERMINED for b, c in zip(best, letters)]
-        return names, np.where(letters > 0, score, 0.0)
+        return names, np.where(letters > 0, score, 0.0), fits
+
+
+def usual_bits(samples: dict[str, list[str]], chars: int = CHARS_PER_LANGUAGE) -> dict[str, float]:
+    """Bits a letter that nine in ten pieces of left-out texts of each language need at most; infinite where too few are left out.
+
+    Every second distinct text teaches automata of half the size, the others are parsed with them.
+    """
+    texts = {name: sorted(set(found)) for name, found in samples.items()}
+    half = LanguageModel({name: found[::2] for name, found in texts.items()}, chars // 2)
+    usual = {}
+    for k, name in enumerate(half.languages):
+        left_out = [t for t in texts[name][1::2] if len(t) >= LEAST_LETTERS]
+        pieces = [t[at : at + PIECE] for t in left_out for at in range(0, len(t), PIECE)]
+        count, letters = half.phrases(pieces)
+        rates = (count[:, k] * half.rates[k] / np.maximum(letters, 1))[letters >= LEAST_LETTERS]
+        enough = len(left_out) >= LEAST_TEXTS and len(rates) >= LEAST_PIECES
+        usual[name] = float(np.quantile(rates, 0.9)) if enough else math.inf
+    return usual
 
 
 def fit(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
         docs_per_language: int = DOCS_PER_LANGUAGE, chars: int = CHARS_PER_LANGUAGE) -> LanguageModel:
     """Fit on a bounded sample of the rows that have a text and a language."""
-    return LanguageModel(labelled_sample(labelled, doc_id, text, lang, docs_per_language, chars), chars)
+    samples = labelled_sample(labelled, doc_id, text, lang, docs_per_language, chars)
+    model, usual = LanguageModel(samples, chars), usual_bits(samples, chars)
+    model.usual = np.array([usual[name] for name in model.languages])
+    return model
 
 
 def predict(docs: DataFrame, model: LanguageModel, keep: list[Column] | None = None, text: str = "text") -> DataFrame:
@@ -192,11 +228,11 @@ def predict(docs: DataFrame, model: LanguageModel, keep: list[Column] | None = N
 
 
 def accepted(docs: DataFrame, model: LanguageModel, least_score: float = LEAST_SCORE, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` in a language the model knows, with at least ``least_score``; the others go."""
+    """The rows of ``docs`` in a language the model knows, with at least ``least_score`` and fitting it; the others go."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def accept(texts: list[str]) -> np.ndarray:
-        names, scores = shared.value.predict(texts)
-        return (np.array(names) != UNDETERMINED) & (scores >= least_score)
+        names, scores, fits = shared.value.judge(texts)
+        return (np.array(names) != UNDETERMINED) & (scores >= least_score) & fits
 
     return keep_where(docs, accept, text, SLICE)

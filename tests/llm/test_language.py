@@ -98,3 +98,28 @@ def test_held_out_accuracy(spark):
     right = np.mean([r["lang"] == r["lang_pred"] for r in rows])
     assert len(rows) > 100 and right > 0.95
     assert len(LONG) > 100_000
+
+
+def test_texts_in_no_learned_language_are_rejected(spark):
+    folder = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    model = language.fit(docs.filter("lang is not null"))
+    assert np.isfinite(model.usual).all() and (model.usual < 5).all()
+    rnd = random.Random(1)
+    polish = ("Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i "
+              "sumieniem i powinni postępować wobec innych w duchu braterstwa. ")
+    strange = ["".join(rnd.choice("абвгдежзийклмно ") for _ in range(n)) for n in (500, 2000, 8000)]
+    strange += ["漢字" * 1000, polish * 4, "αβγ δεζ ηθι " * 100]
+    rows = documents(spark, list(enumerate(strange)))
+    assert language.accepted(rows, model).count() == 0
+    # No document of the table is lost by this: the score alone decides as before.
+    texts = [r["text"] or "" for r in docs.select("text").collect()]
+    names, scores, fits = model.judge(texts)
+    assert [t for t, n, f in zip(texts, names, fits) if n != "und" and not f] == []
+
+
+def test_few_left_out_texts_set_no_limit():
+    many = [f"some words of text number {i} and a few more " * 4 for i in range(20)]
+    found = language.usual_bits({"a": ["abc"], "b": many[:2], "c": many})
+    assert found["a"] == found["b"] == np.inf and 0 < found["c"] < 5
+    assert language.usual_bits({}) == {}
