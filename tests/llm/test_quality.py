@@ -63,3 +63,46 @@ def test_held_out_labels(spark):
     good, bad = ([r["score"] for r in rows if r["quality"] == q] for q in (1, 0))
     auc = np.mean([g > b for g in good for b in bad])
     assert auc > 0.95 and np.mean([r["predicted"] == r["quality"] for r in rows]) > 0.9
+
+
+def test_trees_split_where_an_exhaustive_search_does():
+    rng = np.random.default_rng(11)
+    for _ in range(5):
+        x = rng.integers(0, 6, size=(40, 3)).astype(float)
+        y = ((x[:, 0] + x[:, 2] > 5) ^ (rng.random(40) < 0.1)).astype(float)
+        depth = 2
+        model = quality.grow(x, y, trees=4, depth=depth, rate=0.3, bins=64)
+        score = [model.base] * len(x)
+        assert model.base == pytest.approx(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
+
+        def weight(rows, first, second):
+            return sum(first[i] for i in rows), sum(second[i] for i in rows)
+
+        for features, thresholds, values in zip(model.features, model.thresholds, model.values):
+            p = [1 / (1 + np.exp(-s)) for s in score]
+            g, h = [a - b for a, b in zip(p, y)], [a * (1 - a) for a in p]
+            at = {0: list(range(len(x)))}
+            for node in range((1 << depth) - 1):
+                rows = at.pop(node)
+                all_g, all_h = weight(rows, g, h)
+
+                def gain(feature, cut):
+                    left = [i for i in rows if x[i, feature] <= cut]
+                    a, b = weight(left, g, h)
+                    c, d = all_g - a, all_h - b
+                    if b < 1 or d < 1:
+                        return 0.0
+                    return a * a / (b + quality.L2) + c * c / (d + quality.L2) - all_g**2 / (all_h + quality.L2)
+
+                best = max(gain(f, cut) for f in range(3) for cut in range(6))
+                chosen = gain(features[node], thresholds[node])
+                assert chosen == pytest.approx(max(best, 0.0) if best > 1e-6 else 0.0, abs=1e-9)
+                at[2 * node + 1] = [i for i in rows if x[i, features[node]] <= thresholds[node]]
+                at[2 * node + 2] = [i for i in rows if x[i, features[node]] > thresholds[node]]
+            for leaf, value in enumerate(values):
+                rows = at[(1 << depth) - 1 + leaf]
+                a, b = weight(rows, g, h)
+                assert value == pytest.approx(-0.3 * a / (b + quality.L2))
+                for i in rows:
+                    score[i] += value
+        assert np.allclose(model.predict(x), 1 / (1 + np.exp(-np.array(score))))
