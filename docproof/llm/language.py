@@ -7,8 +7,9 @@ against the language, and the language needing least wins. All documents of a ba
 lockstep, one character at a time, as array operations.
 
 The automata are fitted on a bounded sample of labelled rows (``docs_per_language``, ``chars_per_language``); every
-text is parsed whole. Of the letters of all samples together the ``MAX_SYMBOLS`` commonest are learned, which is enough
-for alphabets; any other letter ends a phrase, so languages written in thousands of signs are learned badly.
+text is parsed whole. Every letter of the samples is learned: the ``SINGLE_SYMBOLS`` commonest are one symbol each, any
+other is a pair of a high and a low symbol, so that the tables stay narrow for languages written in thousands of signs.
+A pair counts as two characters of the sample. A letter that no sample holds ends a phrase.
 
 The score only says how far the winner leads. ``accepted`` also asks that a text fits the winner at all: its bits a
 letter may be ``UNUSUAL`` times what labelled texts need that were left out of an automaton of the other texts (nine in
@@ -34,7 +35,7 @@ from docproof.llm.common import keep_where, labelled_sample, map_text
 
 DOCS_PER_LANGUAGE = 256
 CHARS_PER_LANGUAGE = 40_000
-MAX_SYMBOLS = 126
+SINGLE_SYMBOLS = 126
 LEAST_SCORE = 0.4
 UNUSUAL = 2.25
 SHORT_PHRASES = 8
@@ -108,14 +109,17 @@ class LanguageModel:
             taken[name] = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
             for c, n in zip(*np.unique(taken[name][letters[taken[name]]], return_counts=True)):
                 counts[int(c)] = counts.get(int(c), 0) + int(n)
-        common = sorted(counts, key=lambda c: (-counts[c], c))[:MAX_SYMBOLS]
+        ranked = sorted(counts, key=lambda c: (-counts[c], c))
+        common, rare = ranked[:SINGLE_SYMBOLS], ranked[SINGLE_SYMBOLS:]
+        self.base = math.isqrt(max(0, len(rare) - 1)) + 1 if rare else 0
+        self.high = 2 + len(common)
+        self.symbols = self.high + 2 * self.base
         self.codes = np.where(letters, UNKNOWN, GAP).astype(np.int32)
-        self.codes[common] = np.arange(2, 2 + len(common))
-        self.symbols = 2 + len(common)
+        self.codes[common] = np.arange(2, self.high)
+        self.codes[rare] = self.symbols + np.arange(len(rare))
         tables, starts, self.rates, at = [], [], [], 0
         for name in self.languages:
-            codes = self._squeeze(self.codes[taken[name]])[0]
-            codes = codes[codes != UNKNOWN]
+            codes = self._squeeze(self._pairs(self.codes[taken[name]])[0])[0][: len(taken[name])]
             table = automaton(codes.tolist(), self.symbols)
             # A missing move ends the phrase: it is stored as the complement of where the next phrase goes on.
             table = np.where(table > 0, (table + at) * self.symbols, ~((table[0] + at) * self.symbols)).astype(np.int32)
@@ -127,6 +131,17 @@ class LanguageModel:
         self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
         self.starts = np.array(starts, np.int32)
 
+    def _pairs(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Codes with every rare letter as its two symbols; also how many symbols each code became."""
+        rare = codes >= self.symbols
+        width = 1 + rare.astype(np.int64)
+        out = np.repeat(codes, width)
+        low = np.cumsum(width)[rare] - 1
+        number = codes[rare] - self.symbols
+        out[low - 1] = self.high + number // max(1, self.base)
+        out[low] = self.high + self.base + number % max(1, self.base)
+        return out, width
+
     @staticmethod
     def _squeeze(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Runs of non-letters become one gap; also which codes stay."""
@@ -139,11 +154,15 @@ class LanguageModel:
         n, k = len(texts), len(self.languages)
         points = [_points(t) for t in texts]
         sizes = np.array([len(p) for p in points], np.int64)
-        ends = np.cumsum(sizes)
         joined = np.concatenate(points) if n else np.zeros(0, np.uint32)
         codes = self.codes[joined]
         owner = np.repeat(np.arange(n, dtype=np.int32), sizes)
         letters = np.bincount(owner[codes != GAP], minlength=n)
+        if self.base:
+            codes, width = self._pairs(codes)
+            owner = np.repeat(owner, width)
+            sizes = np.bincount(owner, minlength=n)
+        ends = np.cumsum(sizes)
         stays = self._squeeze(codes)[1]
         stays[(ends - sizes)[sizes > 0]] = True
         codes, owner = codes[stays], owner[stays]

@@ -20,9 +20,8 @@ def slow_phrases(model, name, text):
     taken = []
     for t in SAMPLES[name]:
         taken += [32, *map(ord, t.lower())]
-    known = squeeze([int(model.codes[c]) for c in taken])
-    known = [c for c in known if c != language.UNKNOWN]
-    codes = squeeze([int(model.codes[ord(c)]) for c in text.lower()])
+    known = squeeze(symbols(model, taken))[: len(taken)]
+    codes = squeeze(symbols(model, map(ord, text.lower())))
 
     def inside(part):
         return any(known[i : i + len(part)] == part for i in range(len(known) - len(part) + 1))
@@ -37,6 +36,14 @@ def slow_phrases(model, name, text):
     return count + bool(phrase), k
 
 
+def symbols(model, points):
+    out = []
+    for code in (int(model.codes[c]) for c in points):
+        number = code - model.symbols
+        out += [code] if number < 0 else [model.high + number // model.base, model.high + model.base + number % model.base]
+    return out
+
+
 def squeeze(codes):
     return [c for i, c in enumerate(codes) if c != language.GAP or i == 0 or codes[i - 1] != language.GAP]
 
@@ -54,6 +61,36 @@ def test_lockstep_parse_equals_a_parse_by_search():
             assert row[k] == want, (name, text)
 
 
+def test_lockstep_parse_with_rare_letters_as_pairs(monkeypatch):
+    monkeypatch.setattr(language, "SINGLE_SYMBOLS", 4)
+    model, rnd = language.LanguageModel(SAMPLES), random.Random(6)
+    assert model.base == 4 and model.symbols == 2 + 4 + 8  # 16 letters in all, 12 of them in pairs
+    texts = ["", "x", "zoom", "banana ice"] + [
+        "".join(rnd.choice("abcelmnortuz ,É9") for _ in range(rnd.randint(0, 40))) for _ in range(300)
+    ]
+    found, letters = model.phrases(texts)
+    for row, n, text in zip(found, letters, texts):
+        assert n == sum(c.isalpha() for c in text.lower())
+        for name in SAMPLES:
+            want, k = slow_phrases(model, name, text)
+            assert row[k] == want, (name, text)
+
+
+def test_languages_of_thousands_of_signs_are_told_apart():
+    rnd = random.Random(9)
+    signs = [chr(0x4E00 + i) for i in range(2500)]
+    words = {name: ["".join(rnd.choice(signs) for _ in range(2)) for _ in range(1500)] for name in ("xa", "xb")}
+    text = lambda name, n: "".join(rnd.choice(words[name]) for _ in range(n))
+    samples = {name: [text(name, 250) for _ in range(40)] for name in words}
+    samples["en"] = ["the quick brown fox jumps over the lazy dog and runs away from it"] * 40
+    model = language.LanguageModel(samples)
+    learned = model.codes[[ord(c) for name in words for t in samples[name] for c in t]]
+    assert (learned > language.UNKNOWN).all() and len(set(learned.tolist())) > 2000
+    names, scores = model.predict([text(name, 60) for name in ("xa", "xb") * 20])
+    assert names == ["xa", "xb"] * 20 and scores.min() > 0.9
+    assert model.predict(["the lazy fox"])[0] == ["en"]
+
+
 def test_automaton_accepts_exactly_the_substrings():
     rnd = random.Random(2)
     text = [rnd.randint(0, 2) for _ in range(60)]
