@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docproof.functions.text import let, py_strip
 
 FENCE = r"```(?:json)?"
+QUOTED = r'"(?:[^"\\]|\\.)*+"'
 TIMINGS_TYPE = "map<string,double>"
 
 
@@ -88,7 +89,7 @@ def normalize_issues(text: Column) -> Column:
 
 def json_depth(text: Column) -> Column:
     """How deep objects and arrays are nested in JSON text, at least 1."""
-    brackets = F.regexp_replace(F.regexp_replace(text, r'"(?:[^"\\\\]|\\\\.)*+"', ""), r"[^\[\]{}]+", "")
+    brackets = F.regexp_replace(F.regexp_replace(text, QUOTED, ""), r"[^\[\]{}]+", "")
     step = lambda a, c: F.struct(
         (a["now"] + F.when(c.isin("{", "["), 1).otherwise(-1)).alias("now"), F.greatest(a["top"], a["now"]).alias("top")
     )

@@ -1250,6 +1250,30 @@ def sql_functions(spark, d):
     return amounts.unionByName(texts)
 
 
+def _through_sql(df: DataFrame, columns: str, call: str) -> DataFrame:
+    """Rows of ``df`` beside what a table function makes of each."""
+    sqlfuncs.register(df.sparkSession)
+    return df.sparkSession.sql(f"SELECT {columns} FROM {{df}} AS d, LATERAL {call}", df=df)
+
+
+@query
+def sql_amounts(spark, d):
+    return _through_sql(b.invoices(spark, d).select("doc_id", "ocr_text"), "doc_id, pos, run", "dp_amounts(d.ocr_text)")
+
+
+@query
+def sql_leaves(spark, d):
+    answers = val.with_answer(b.invoices(spark, d)).select("doc_id", "answer")
+    return _through_sql(answers, "doc_id, path, value", "dp_leaves(d.answer)")
+
+
+@query
+def sql_fields(spark, d):
+    sqlfuncs.register(spark)
+    answers = b.invoices(spark, d).selectExpr("doc_id", "dp_model_json(raw_llm_response) AS answer")
+    return _through_sql(answers, "doc_id, position, field, value", "dp_fields(d.answer)")
+
+
 # --- streams ----------------------------------------------------------------------------------------------
 
 

@@ -560,6 +560,9 @@ def build() -> dict[str, str]:
     sql["with_model_response"] = f"""WITH {inv} SELECT doc_id, '{{"n":' || length(ocr_text) || '}}' AS raw_llm_response FROM inv"""
     sql["sql_functions"] = f"""WITH {amt} SELECT l_orderkey AS id, l_linenumber AS part, {i.number_str('raw')} AS text,
       {i.number('raw')} AS number FROM am UNION ALL SELECT doc_id, 0, {i.fold('text')}, NULL FROM documents"""
+    sql["sql_amounts"] = f"""WITH {inv}, r AS (SELECT doc_id, {runs} AS found FROM inv)
+      SELECT doc_id, (unnest(range(1, len(found) + 1)) - 1)::INTEGER AS pos, unnest(found) AS run FROM r"""
+    sql["sql_leaves"], sql["sql_fields"] = sql["flatten_json"], sql["unpivot_fields"]
     sql["stream_trend"] = "SELECT ts::DATE AS label, count(*) AS value FROM events GROUP BY 1"
     sql["stream_tokens"] = sql["assemble_token_stream"]
     return sql

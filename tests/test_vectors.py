@@ -3,8 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
+from docproof import constants as C
 from docproof.functions import canonical, currency, dates, jsonio, numbers, sqlfuncs, text
 from docproof.functions.html import strip_html, strip_tags_simple
+from docproof.operators import fieldrules
 
 NUMBERS = {
     "28.100,31": 28100.31, "28,100.31": 28100.31, "1,180": 1180.0, "100,5": 100.5, "100,50SAR": 10050.0,
@@ -196,6 +198,64 @@ def test_sql_functions_agree_with_columns(spark):
     assert [tuple(r) for r in by_sql.collect()] == [tuple(r) for r in by_column.collect()]
 
 
+def test_brackets_in_quoted_text_do_not_hide_levels(spark):
+    df = spark.createDataFrame([(r'{"x":"a\"}}}\"b\\","a":{"b":{"c":{"d":1}}}}',)], "j string")
+    leaves = df.select(F.inline(jsonio.flatten_json(F.parse_json("j")))).collect()
+    assert {r["path"]: r["value"] for r in leaves} == {"x": 'a"}}}"b\\', "a.b.c.d": "1"}
+
+
+def test_further_sql_functions_agree_with_columns(spark):
+    sqlfuncs.register(spark)
+    inputs = [
+        None, "", " ", "a", "a/b/c.pdf", "dir/", "/", ".hidden", "x.tar.gz", "no suffix", "Jane Q Doe", "  amy ", "\u0645\u062d\u0645\u062f \u0639\u0644\u064a",
+        "total 5 USD now", "SARX", "\u0631\u064a\u0627\u0644 \u0633\u0639\u0648\u062f\u064a", "<p>x</p>", "a > b", "1  2\t3\n\nx\nx\r\ny\n", "123456789012345", "ABC1234567",
+        '{"a":1}', '{"a":1} tail', 'x ```json\n{"a":{"b":[1]}}\n``` y', '{"ocr":1.5,"llm":null}', "[1]", "{", *C.PLACEHOLDERS, "it's \\\\ \\d",
+    ]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(inputs)], "i int, v string")
+    v = F.col("v")
+    variant = lambda c: c.cast("string")
+    pairs = {
+        "dp_reject_placeholder(v)": fieldrules.reject_placeholder(v),
+        "dp_currency_code(v)": currency.currency_code(v),
+        "dp_vat_format_ok(v)": fieldrules.vat_format_ok(v),
+        "dp_vat_format_ksa(v)": fieldrules.vat_format_ksa(v),
+        "dp_safe_basename(v)": text.safe_basename(v),
+        "dp_file_suffix(v)": text.file_suffix(v),
+        "dp_file_stem(v)": text.file_stem(v),
+        "dp_initials(v)": text.initials(v),
+        "dp_has_html(v)": text.has_html(v),
+        "dp_clean_ocr(v)": text.clean_ocr(v),
+        "dp_download_json(v, 'x')": jsonio.download_json(v, F.lit("x")),
+        "dp_timings(v)": jsonio.timings_map(v),
+        "CAST(dp_model_json(v) AS STRING)": variant(jsonio.parse_model_json(v)),
+        "CAST(dp_read_object(v) AS STRING)": variant(jsonio.read_object(v)),
+        "dp_number_text(i * 1234567.25D)": numbers.number_text(F.col("i") * F.lit(1234567.25)),
+        "dp_day_start('2026-02-28')": dates.day_start(F.lit("2026-02-28")),
+        "dp_day_end('2026-02-28')": dates.day_end(F.lit("2026-02-28")),
+        "dp_iso_timestamp(dp_day_end('2026-02-28'))": dates.iso_timestamp(dates.day_end(F.lit("2026-02-28"))),
+    }
+    names = [f"c{k}" for k in range(len(pairs))]
+    by_sql = df.selectExpr("i", *(f"{e} AS {n}" for e, n in zip(pairs, names))).collect()
+    by_column = df.select("i", *(c.alias(n) for c, n in zip(pairs.values(), names))).collect()
+    for got, want in zip(by_sql, by_column):
+        for n, e in zip(names, pairs):
+            assert got[n] == want[n], (e, inputs[got["i"]])
+
+
+def test_sql_table_functions_are_generators(spark):
+    sqlfuncs.register(spark)
+    docs = spark.createDataFrame(
+        [(1, '{"a":{"b":{"c":"d","e":[1,{"x":2}]},"f":null},"g":"{{{"}', "7,5 and 8"), (2, None, None), (3, "{}", "none")], "id int, j string, t string")
+    leaves = spark.sql("SELECT id, path, value FROM (SELECT id, dp_model_json(j) AS a FROM {d}) d, LATERAL dp_leaves(d.a)", d=docs)
+    found = {(r["id"], r["path"]): r["value"] for r in leaves.collect()}
+    assert found == {(1, "a.b.c"): "d", (1, "a.b.e"): '[1,{"x":2}]', (1, "a.f"): None, (1, "g"): "{{{"}
+    amounts = spark.sql("SELECT id, pos, trim(run) AS run FROM {d} d, LATERAL dp_amounts(d.t) WHERE trim(run) <> ''", d=docs)
+    assert [(r["id"], r["run"]) for r in amounts.collect()] == [(1, "7,5"), (1, "8")]
+    for df in (leaves, amounts):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Generate" in plan and "Join" not in plan and "Exchange" not in plan
+
+
 def test_python_functions_need_no_package_on_executors(tmp_path):
     """A worker without this package on its path can load and run them."""
     import subprocess
