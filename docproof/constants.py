@@ -286,3 +286,10 @@ FIELD_WEIGHTS = {
     "subtotal": 4,
     "tax_amount": 4,
 }
+
+# The demo record written into an empty store; fixed values.
+DEMO_JSON = (
+    '{"invoice_number": "INV-1001", "invoice_date": "2026-06-01", "vendor_name": "Northwind Traders", '
+    '"customer_name": "Contoso Ltd", "currency": "USD", "subtotal": 1000.0, "tax_amount": 180.0, '
+    '"total_amount": 1180.0}'
+)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docproof import constants as C
 from docproof.functions.text import file_stem, file_suffix, safe_basename
 
 # Columns that older document tables lack, with the value they are filled with.
@@ -46,12 +47,6 @@ DOCUMENT_SCHEMA = T.StructType(
 
 HISTORY_COLUMNS = ("id", "filename", "document_type", "status", "confidence", "created_at")
 
-# The demo record written into an empty store.
-DEMO_JSON = (
-    '{"invoice_number": "INV-1001", "invoice_date": "2026-06-01", "vendor_name": "Northwind Traders", '
-    '"customer_name": "Contoso Ltd", "currency": "USD", "subtotal": 1000.0, "tax_amount": 180.0, '
-    '"total_amount": 1180.0}'
-)
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -122,7 +117,7 @@ def demo_if_empty(documents: DataFrame) -> dict[str, DataFrame]:
             F.lit("sample-invoice.pdf").alias("original_filename"),
             F.lit("uploads/sample-invoice.pdf").alias("file_path"),
             F.lit("invoice").alias("document_type"),
-            F.lit(DEMO_JSON).alias("json_output"),
+            F.lit(C.DEMO_JSON).alias("json_output"),
             F.lit("{}").alias("extracted_json"),
             F.lit(0.93).alias("confidence"),
             F.lit("pending_review").alias("status"),
@@ -131,7 +126,7 @@ def demo_if_empty(documents: DataFrame) -> dict[str, DataFrame]:
         "extractions": empty.select(
             one.alias("document_id"),
             F.lit("Invoice INV-1001 from Northwind Traders").alias("raw_text"),
-            F.lit(DEMO_JSON).alias("json_output"),
+            F.lit(C.DEMO_JSON).alias("json_output"),
             F.lit(0.93).alias("confidence"),
             F.lit("demo").alias("engine"),
             at,

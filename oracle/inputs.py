@@ -316,25 +316,22 @@ def score(field: str) -> str:
 def scored() -> str:
     """Confidence, valid flag and status on top of the states.
 
-    SQL cannot round the binary value of a mean, so the ties that go down are listed; ``tests/test_brute_force.py``
-    checks that list against plain float arithmetic for every combination of scores.
+    The mean is taken of the binary values of the scores, added exactly as multiples of 2 ** -57, and written with two
+    decimals from its own binary value, so that halves go where they go in float arithmetic.
     """
-    from docproof.operators.scoring import TIE_WEIGHTS, ties_rounded_down
-
     is_ = lambda f, s: f"(s_{f} = '{s}')::INTEGER"
     n99 = " + ".join(is_(f, C.VALID) for f in C.AMOUNT_FIELDS)
     n98 = is_("document_date", C.VALID)
     n97 = " + ".join(is_(f, C.VALID) for f in C.FIELDS if f not in C.AMOUNT_FIELDS and f != "document_date")
     n10 = " + ".join(is_(f, C.MISSING) for f in C.FIELDS)
     n40 = " + ".join(is_(f, C.INCORRECT) for f in C.FIELDS)
-    code = " + ".join(f"n{i} * {w}" for i, w in enumerate(TIE_WEIGHTS))
-    ties = ", ".join(map(str, ties_rounded_down()))
+    scores = ("0.99", "0.98", "0.97", "0.10", "0.40")
+    exact = " + ".join(f"n{i} * ({x}::DOUBLE * pow(2, 57))::BIGINT" for i, x in enumerate(scores))
     low = " OR ".join(f"s_{f} IN ('{C.MISSING}', '{C.INCORRECT}')" for f in C.FIELDS)
     return f"""{states()},
 cnt AS (SELECT *, {n99} AS n0, {n98} AS n1, {n97} AS n2, {n10} AS n3, {n40} AS n4 FROM st),
-tot AS (SELECT *, n0 + n1 + n2 + n3 + n4 AS n, 99 * n0 + 98 * n1 + 97 * n2 + 10 * n3 + 40 * n4 AS total FROM cnt),
-conf AS (SELECT *, CASE WHEN n = 0 THEN 1.0::DOUBLE ELSE ((2 * total + n) // (2 * n)
-    - CASE WHEN {code} IN ({ties}) THEN 1 ELSE 0 END) / 100.0::DOUBLE END AS confidence,
+tot AS (SELECT *, n0 + n1 + n2 + n3 + n4 AS n, ({exact})::DOUBLE / pow(2, 57) AS total FROM cnt),
+conf AS (SELECT *, CASE WHEN n = 0 THEN 1.0::DOUBLE ELSE format('{{:.2f}}', total / n)::DOUBLE END AS confidence,
   NOT (math_failed OR f_document_number IN ('{C.MISSING}', '{C.INCORRECT}') OR f_total_amount = '{C.MISSING}') AS valid,
   ({low}) AS low FROM tot),
 fin AS (SELECT *, CASE WHEN confidence <= 0.05 THEN 'Rejected' WHEN low THEN 'Needs Review' ELSE 'Approved' END

@@ -44,15 +44,6 @@ def number(s):
         return None
 
 
-def tidy(s):
-    out = []
-    for line in s.splitlines():
-        line = re.sub("[ \t\xa0\u2000-\u200a\u202f\u205f\u3000]+", " ", line).strip()
-        if not out or out[-1] != line:
-            out.append(line)
-    return "\n".join(out).strip()
-
-
 def printed_amounts(s):
     runs, current = [], ""
     for c in s + "x":
@@ -74,9 +65,28 @@ def test_number(spark):
     assert apply(spark, numbers.normalize_number, inputs) == [number(s) for s in inputs]
 
 
-def test_clean(spark):
+CLEANED = {
+    "a \t b": "a b", " a ": "a", "a\n\n\nb": "a\n\nb", "a\n a\na ": "a", "a\nb\na": "a\nb\na", "\n\n": "", "a\x1cb": "a\nb",
+    "a\xa0\u2003b": "a b", "a\u2028a": "a", "x  y\r\nx y\r\n\r\nz": "x y\n\nz", "A\na": "A\na", "a\x85 \x85b": "a\n\nb",
+}
+
+
+def test_clean_by_hand(spark):
+    assert apply(spark, text.clean_ocr, list(CLEANED)) == list(CLEANED.values())
+
+
+def test_clean_keeps_its_promises(spark):
     inputs = texts(size=30)
-    assert apply(spark, text.clean_ocr, inputs) == [tidy(s) for s in inputs]
+    once = apply(spark, text.clean_ocr, inputs)
+    assert apply(spark, text.clean_ocr, once) == once  # nothing is left to do
+    for before, after in zip(inputs, once):
+        lines = after.split("\n")
+        assert after == after.strip() and all(line == line.strip() for line in lines)
+        assert not re.search("[ \t\xa0\u2003]{2}|[\t\xa0\u2003]", after)
+        assert all(x != y for x, y in zip(lines, lines[1:]))
+        # Words stay in their order: only whole lines equal to the one before them are gone.
+        words, rest = after.split(), iter(before.split())
+        assert all(w in rest for w in words) and set(words) == set(before.split())
 
 
 def test_lines(spark):

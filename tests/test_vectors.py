@@ -106,7 +106,7 @@ def test_issue_list(spark):
 
 
 def test_canonical_of_demo_record(spark):
-    from docproof.sources.tables import DEMO_JSON
+    from docproof.constants import DEMO_JSON
 
     df = spark.createDataFrame([(DEMO_JSON,)], "j string").select(
         *canonical.canonical_columns(jsonio.read_object(F.col("j")))
